@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quintet.llm import decontaminate, linededup, tokenids
+from quintet.llm import decontaminate, linededup, neardup, tokenids
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op3_line_dedup": linededup.op3_line_dedup,
+    "op4_near_dedup": neardup.op4_near_dedup,
     "op9_token_ids": tokenids.op9_token_ids,
 }
 ORACLE_SQL: dict[str, str] = {}
