@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from quintet.llm import decontaminate, linededup, neardup, tokenids
+from quintet.llm import decontaminate, linededup, media, mixing, neardup, tokencounts, tokenids, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op2_mixing": mixing.op2_mixing,
     "op3_line_dedup": linededup.op3_line_dedup,
     "op4_near_dedup": neardup.op4_near_dedup,
+    "op5_warc": warc.op5_warc,
+    "op8_media": media.op8_media,
     "op9_token_ids": tokenids.op9_token_ids,
+    "op10_token_counts": tokencounts.op10_token_counts,
 }
 ORACLE_SQL: dict[str, str] = {}
