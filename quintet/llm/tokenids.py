@@ -50,7 +50,7 @@ def write(docs: DataFrame, folder: str, *, tokenizer: str, id_col: str = "doc_id
 
         def produce(out):
             w = sstable.Writer(out, bpe.width)
-            for b in common.by_bytes(batches, "text"):
+            for b in common.by_bytes(batches, "text", 2 << 20):
                 for i, ids in zip(b.column("id").to_pylist(), bpe.encode(common.utf8(b.column("text"))), strict=True):
                     w.add(i, ids + end)
             w.finish()

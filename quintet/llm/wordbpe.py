@@ -10,6 +10,9 @@ first could make a special token. tests/llm compare with whole-text encoding.
 
 from __future__ import annotations
 
+import struct
+import unicodedata
+
 from quintet.llm import common
 
 
@@ -19,8 +22,18 @@ def marked(word: bytes) -> bool:
     return len(word) > 1 and word[-1:] in (b".", b",") and word[:-1].decode()[-1].isalpha()
 
 
+#: Bytes that the byte-level alphabet shows as another character: those that don't print, from 256 on.
+HIDDEN = [c for c in range(256) if not (33 <= c <= 126 or 161 <= c <= 172 or c >= 174)]
+SHOWN = {c: 256 + i for i, c in enumerate(HIDDEN)}
+
+
+def plain(word: str) -> bool:
+    """Lower-case European letters only, composed: normalising and splitting leave it whole."""
+    return word.isalpha() and max(word) < "\u0530" and word == word.lower() and unicodedata.is_normalized("NFC", word)
+
+
 class WordBpe:
-    def __init__(self, path: str, most: int = 600_000):
+    def __init__(self, path: str, most: int = 1_200_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -38,17 +51,28 @@ class WordBpe:
         return [self.pack(e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, words: set[bytes]) -> None:
+        """Ask the library for words that aren't known."""
+        known = self.known
         ends = {w for w in words if marked(w)}
-        new = list((words - ends | {w[:-1] for w in ends} | {b".", b","}) - self.known.keys())
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            self.known.update(zip(part, self.whole([w.decode() for w in part]), strict=True))
+        new = [w for w in words - ends | {w[:-1] for w in ends} | {b".", b","} if w not in known]
+        rest, merge = [], self.library.model.tokenize
+        for w in new:
+            if plain(word := w.decode()):  # straight to the library's merges
+                ids = [t.id for t in merge(word if word.isascii() else w.decode("latin-1").translate(SHOWN))]
+                known[w] = struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
+            else:
+                rest.append(w)
+        for at in range(0, len(rest), 20_000):
+            part = rest[at : at + 20_000]
+            known.update(zip(part, self.whole([w.decode() for w in part]), strict=True))
         for w in ends:
-            self.known[w] = self.known[w[:-1]] + self.known[w[-1:]]
+            known[w] = known[w[:-1]] + known[w[-1:]]
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Each text's ids, packed `width` bytes each; null is as empty."""
         out: list[bytes] = [b""] * len(texts)
+        waiting: list[tuple[int, list[bytes]]] = []
+        missing: set[bytes] = set()
         for i, text in enumerate(texts):
             if not text:
                 continue
@@ -59,10 +83,15 @@ class WordBpe:
             try:
                 out[i] = b"".join(map(self.known.__getitem__, words))
             except KeyError:
-                distinct = set(words)
-                if len(self.known) + len(distinct) > self.most:
-                    self.known = {}
-                self.learn(distinct - self.known.keys())
+                waiting.append((i, words))
+                known = self.known
+                missing.update([w for w in words if w not in known])
+        if waiting:
+            if len(self.known) + len(missing) > self.most:
+                self.known = {}
+                missing = {w for _, words in waiting for w in words}
+            self.learn(missing)
+            for i, words in waiting:
                 out[i] = b"".join(map(self.known.__getitem__, words))
         return out
 
