@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quintet.llm import common, decontaminate, tokenids
+from quintet.llm import common, decontaminate, mixing, neardup, tokenids, toxicity
 
 #: (name, function of (spark, docs, sf_dir)); all but the last return the columns of documents.
 STAGES = [
+    ("toxicity", toxicity.stage),
+    ("near_dedup", neardup.stage),
     ("decontamination", decontaminate.stage),
+    ("mixing", mixing.stage),
     ("token_ids", tokenids.stage),
 ]
 
-#: BPE ids and a trained model are beyond SQL; tests/llm hold the run against brute force.
+#: A trained model and BPE ids are beyond SQL; tests/llm hold the run against brute force.
 ORACLE_SQL = None
 
 

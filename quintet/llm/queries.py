@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quintet.llm import decontaminate, linededup, media, mixing, neardup, tokencounts, tokenids, toxicity, warc
+from quintet.llm import decontaminate, linededup, lmscore, media, mixing, neardup, tokencounts, tokenids, toxicity, warc
 
 QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_line_dedup": linededup.op3_line_dedup,
     "op4_near_dedup": neardup.op4_near_dedup,
     "op5_warc": warc.op5_warc,
+    "op6_lm_score": lmscore.op6_lm_score,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_media": media.op8_media,
     "op9_token_ids": tokenids.op9_token_ids,
