@@ -268,7 +268,7 @@ def chosen(score: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
     return np.sort(order[rank < n])
 
 
-def train(texts: list[bytes], labels: np.ndarray, *, rounds: int = 2, epochs: int = 4, batch: int = 192, rate: float = 0.015, seed: int = 11) -> Model:
+def train(texts: list[bytes], labels: np.ndarray, *, rounds: int = 2, epochs: int = 4, batch: int = 192, steps: int = 150, rate: float = 0.015, seed: int = 11) -> Model:
     """Fit the model; texts come in a fixed order."""
     r, model = np.random.default_rng(seed), Model()
     labels = labels.astype(F32)
@@ -299,15 +299,17 @@ def train(texts: list[bytes], labels: np.ndarray, *, rounds: int = 2, epochs: in
             best, few = chosen(score, text, 1), chosen(score, text, 2)
             chance = np.flatnonzero((r.random(len(text)) < len(halves[k]) / len(text)) & (own == 0))
             picked.append(np.unique(np.concatenate([best[own[best] == 1], few[own[few] == 0], chance])))
-        for epoch in range(epochs):
-            lot = [(k, b) for k in (0, 1) for b in np.array_split(r.permutation(picked[k]), max(1, len(picked[k]) // batch))]
+        size = min(batch, max(32, sum(map(len, picked)) // 8))  # small samples take small steps, and enough of them
+        own_epochs = max(epochs, -(-steps * size // max(1, sum(map(len, picked)))))
+        for epoch in range(own_epochs):
+            lot = [(k, b) for k in (0, 1) for b in np.array_split(r.permutation(picked[k]), max(1, len(picked[k]) // size))]
             for i in r.permutation(len(lot)):
                 k, b = lot[i]
                 x = inputs_of(parts[k], odds[k], model.p, seen[k][0][b])
                 y = labels[halves[k]][seen[k][1][b]]
                 grad = model.gradients(parts[k], x, seen[k][0][b], y, np.where(y == 1, 2.0, 1.0).astype(F32))
                 step += 1
-                speed = rate * (1 - (turn * epochs + epoch) / (rounds * epochs)) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
+                speed = rate * (1 - (turn + epoch / own_epochs) / rounds) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
                 for name, g in grad.items():
                     m, v = moment[name]
                     m += 0.1 * (g - m)
