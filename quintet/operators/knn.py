@@ -108,6 +108,16 @@ def table(q_ids: np.ndarray, place: np.ndarray, d2: np.ndarray, r_ids: np.ndarra
     return pd.DataFrame({"q_id": q_ids[row], "rank": (rank + 1).astype(np.int32), "ref_idx": r_ids[at], "label": labels[at], "d2": d2[row, rank]})
 
 
+def nothing() -> pd.DataFrame:
+    kinds = {"q_id": "int64", "rank": "int32", "ref_idx": "int64", "label": "object", "d2": "float64"}
+    return pd.DataFrame({c: pd.Series(dtype=t) for c, t in kinds.items()})
+
+
+def own_columns(rows: DataFrame, names: list[str]) -> DataFrame:
+    """rows with columns of their own, so that both sides of a cogroup may come from one table."""
+    return rows.select(*[F.col(c).alias(c) for c in names])
+
+
 def size_of(references: DataFrame) -> tuple[int, int]:
     """(rows, bytes) of reference vectors and labels."""
     n, size = references.agg(F.count("*"), F.sum(F.size("vector") * F.lit(8) + F.coalesce(F.octet_length("label"), F.lit(0)) + F.lit(16))).first()
@@ -140,12 +150,13 @@ def broadcast_search(queries: DataFrame, references: DataFrame, k: int, leave_ou
 def grid_search(queries: DataFrame, references: DataFrame, k: int, leave_out_self: bool, blocks: int, query_blocks: int | None = None) -> DataFrame:
     """Every block of queries with every block of references, then the best of each query's partial results."""
     across = query_blocks or max(1, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")) // max(1, blocks))
+    queries, references = own_columns(queries, ["q_id", "vector"]), own_columns(references, ["ref_idx", "vector", "label"])
     left = queries.select("q_id", "vector", F.pmod(F.xxhash64("q_id"), F.lit(across)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("rb"))
     right = references.select("ref_idx", "vector", "label", F.pmod(F.xxhash64("ref_idx"), F.lit(blocks)).cast("int").alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("qb"))
 
     def search(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(r):
-            return pd.DataFrame({"q_id": [], "rank": [], "ref_idx": [], "label": [], "d2": []})
+            return nothing()
         ids, labels, vectors = packed(r)
         q_ids = q["q_id"].to_numpy(np.int64)
         return table(q_ids, *nearest(np.array(q["vector"].tolist(), float), q_ids if leave_out_self else None, vectors, ids, k), ids, labels)
@@ -175,12 +186,13 @@ def bucketed(queries: DataFrame, references: DataFrame, k: int = K, leave_out_se
     else:
         # large buckets are dealt into blocks; a query meets every block of its own bucket
         salts = -(-rows // block_rows)
+        queries, references = own_columns(queries, ["q_id", "vector"]), own_columns(references, ["ref_idx", "vector", "label"])
         left = queries.withColumn("b", bucket(F.col("vector"))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
         right = references.withColumn("b", bucket(F.col("vector"))).withColumn("salt", F.pmod(F.xxhash64("ref_idx"), F.lit(salts)).cast("int"))
 
         def search(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
             if not len(q) or not len(r):
-                return pd.DataFrame({"q_id": [], "rank": [], "ref_idx": [], "label": [], "d2": []})
+                return nothing()
             ids, labels, vectors = packed(r)
             q_ids = q["q_id"].to_numpy(np.int64)
             return table(q_ids, *nearest(np.array(q["vector"].tolist(), float), q_ids if leave_out_self else None, vectors, ids, k), ids, labels)

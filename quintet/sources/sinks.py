@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quintet.functions.scalars import ISO, json_array, json_number
 
-Q = F.lit('"')
+
 
 
 def text(x) -> Column:
@@ -24,7 +24,7 @@ def object_of(*members: Column) -> Column:
 
 
 def moment(x) -> Column:
-    return F.concat(Q, F.date_format(x, ISO), Q)
+    return F.concat(F.lit('"'), F.date_format(x, ISO), F.lit('"'))
 
 
 def request_json(nulls: bool = True) -> Column:
