@@ -50,6 +50,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def masked(docs: DataFrame):
+    """(docs under column names that clash with nothing, their names by the old ones, the way back)."""
+    from pyspark.sql import functions as F
+
+    names = {c: f"__c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names, lambda df: df.select(*[F.col(m).alias(c) for c, m in names.items()])
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -160,5 +160,5 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without contaminated ones, in their own columns."""
-    found = find(docs, common.table(spark, sf_dir, "benchmark"))
-    return found.filter(~F.col("contaminated")).select(*docs.columns)
+    own, name, back = common.masked(docs)
+    return back(find(own, common.table(spark, sf_dir, "benchmark"), text_col=name["text"]).filter(~F.col("contaminated")))

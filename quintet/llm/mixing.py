@@ -191,19 +191,17 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs, each row as often as the mix takes it."""
-    kept = [f"`{c}`" for c in docs.columns]
+    own, name, back = common.masked(docs)
     counted = mix(docs)
     # rows equal in id and text are interchangeable: number them on both sides
     one = W.partitionBy("i", "h").orderBy("copies")
     chosen = counted.select(F.col("id").alias("i"), "h", "copies").withColumn("k", F.row_number().over(one)).filter("copies > 0")
-    hashed = numbered(docs)
-    return (
-        hashed.join(chosen, hashed["__id"].eqNullSafe(chosen["i"]) & (hashed["__h"] == chosen["h"]) & (hashed["__k"] == chosen["k"]))
-        .select(*kept, F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("__copy")).drop("__copy")
-    )
+    hashed = numbered(own, name["doc_id"], name["text"])
+    both = hashed.join(chosen, hashed["__id"].eqNullSafe(chosen["i"]) & (hashed["__h"] == chosen["h"]) & (hashed["__k"] == chosen["k"]))
+    return back(both.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))))
 
 
-def numbered(docs: DataFrame) -> DataFrame:
+def numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """docs with __id, __h as in sized() and __k, a number among rows equal in both."""
     from pyspark.sql import types as T
 
@@ -213,9 +211,9 @@ def numbered(docs: DataFrame) -> DataFrame:
         import pyarrow as pa
         import xxhash
 
-        for b in common.by_bytes(batches, "text"):
-            ids = b.column("doc_id").cast(pa.int64())
-            h = [xxhash.xxh3_64_intdigest((t or b"") + b"\0%d" % (-1 if i is None else i)) - (1 << 63) for i, t in zip(ids.to_pylist(), common.utf8(b.column("text")), strict=True)]
+        for b in common.by_bytes(batches, text_col):
+            ids = b.column(id_col).cast(pa.int64())
+            h = [xxhash.xxh3_64_intdigest((t or b"") + b"\0%d" % (-1 if i is None else i)) - (1 << 63) for i, t in zip(ids.to_pylist(), common.utf8(b.column(text_col)), strict=True)]
             yield pa.RecordBatch.from_arrays([*b.columns, ids, pa.array(h, pa.int64())], names=[*b.schema.names, "__id", "__h"])
 
     return docs.mapInArrow(hashed, schema).withColumn("__k", F.row_number().over(W.partitionBy("__id", "__h").orderBy(F.lit(0))))

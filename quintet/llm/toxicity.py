@@ -23,7 +23,7 @@ are held out: their labels are never read.
 
 Defined results: a text without words has nothing toxic and scores 0; a label row
 that repeats an id counts once, toxic if any is; null labels are no labels; a
-null id is not held out; without labels of both classes every score is 0.
+null id is not held out; without labels of both classes every score is below 1e-9.
 """
 
 from __future__ import annotations
@@ -409,4 +409,6 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't rejected as toxic, in their own columns."""
-    return score(docs, common.table(spark, sf_dir, "labels")).filter("predicted = 0").select(*docs.columns)
+    own, name, back = common.masked(docs)
+    scored = score(own, common.table(spark, sf_dir, "labels"), id_col=name["doc_id"], text_col=name["text"])
+    return back(scored.filter("predicted = 0"))
