@@ -67,34 +67,70 @@ def distances(q: np.ndarray, r: np.ndarray) -> np.ndarray:
     return out
 
 
-def nearest(q: np.ndarray, q_ids: np.ndarray | None, r: np.ndarray, r_ids: np.ndarray, k: int, piece: int = 1 << 21) -> tuple[np.ndarray, np.ndarray]:
+#: Above the rounding error of a distance by a matrix product, relative to 1 + |q|^2 + |r|^2.
+SLACK = 1e-12
+
+
+def nearest(q: np.ndarray, q_ids: np.ndarray | None, r: np.ndarray, r_ids: np.ndarray, k: int, tile: tuple[int, int] = (64, 4096)) -> tuple[np.ndarray, np.ndarray]:
     """(places in r_ids, squared distances) of the k nearest, sorted; -1 where there are fewer.
 
-    r_ids ascend. q_ids: rows to leave out, by index, or None.
+    r_ids ascend. q_ids: a reference of this id is left out, or None. Tiles of
+    queries and references stay in cache; a matrix product bounds a tile's
+    distances, and only pairs that may be among the k so far are computed in the
+    fixed order of summation. Values that aren't finite go without bounds.
     """
     n, m = len(q), len(r_ids)
     place, d2 = np.full((n, k), -1), np.full((n, k), np.inf)
-    with np.errstate(invalid="ignore", over="ignore"):
-        for a in range(0, n, step := max(1, piece // max(1, m))):
-            own = distances(q[a : a + step], r)
-            own[~(own < FAR)] = np.inf
-            if q_ids is not None:
-                own[q_ids[a : a + step, None] == r_ids[None]] = np.inf
-            if m > k:
-                # all that are no farther than the k-th, so that ties at it are decided by index
-                edge = np.partition(own, k - 1, axis=1)[:, k - 1]
-                row, col = np.nonzero((own <= edge[:, None]) & (own < np.inf))
+    bounded = bool(np.isfinite(q).all() and np.isfinite(r).all() and (not q.size or np.abs(q).max() < 1e100) and (not r.size or np.abs(r).max() < 1e100))
+    spare = k + (q_ids is not None)
+    q_size, r_size = (q * q).sum(axis=1), (r * r).sum(axis=0)
+    doubled = -2.0 * q
+    for a in range(0, n, tile[0]):
+        own = q[a : a + tile[0]]
+        at, dist = place[a : a + tile[0]], d2[a : a + tile[0]]
+        for b in range(0, m, tile[1]):
+            part = r[:, b : b + tile[1]]
+            if bounded:
+                size, sizes = q_size[a : a + tile[0]], r_size[b : b + tile[1]]
+                low = doubled[a : a + tile[0]] @ part  # the distance less |q|^2, and less its slack
+                low += sizes * (1.0 - SLACK)
+                edge = dist[:, -1]
+                if np.isinf(edge).any() and part.shape[1] > spare:
+                    reach = np.partition(low + sizes * (2.0 * SLACK), spare - 1, axis=1)[:, spare - 1]
+                    edge = np.minimum(edge, reach + size * (1.0 + SLACK) + SLACK)
+                row, col = np.nonzero(low <= (edge - size * (1.0 - SLACK) + SLACK)[:, None])
+                value = exact(own, part, row, col)
             else:
-                row, col = np.nonzero(own < np.inf)
-            value = own[row, col]
-            order = np.lexsort((col, value, row))
-            row, col, value = row[order], col[order], value[order]
+                with np.errstate(invalid="ignore", over="ignore"):
+                    every = distances(own, part)
+                row, col = np.nonzero(every <= dist[:, -1, None])
+                value = every[row, col]
+            keep = value < FAR
+            if q_ids is not None:
+                keep &= q_ids[a + row] != r_ids[b + col]
+            if not keep.any():
+                continue
+            # what was best so far and what may be better; references ascend, so places decide ties
+            old = np.nonzero(at >= 0)
+            row = np.concatenate([old[0], row[keep]])
+            where, value = np.concatenate([at[old], b + col[keep]]), np.concatenate([dist[old], value[keep]])
+            order = np.lexsort((where, value, row))
+            row, where, value = row[order], where[order], value[order]
             rank = np.arange(len(row)) - np.searchsorted(row, row)
             keep = rank < k
-            place[a + row[keep], rank[keep]], d2[a + row[keep], rank[keep]] = col[keep], value[keep]
+            at[row[keep], rank[keep]], dist[row[keep], rank[keep]] = where[keep], value[keep]
     return place, d2
 
 
+def exact(q: np.ndarray, r: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """Squared distances of some pairs, in the fixed order of summation."""
+    out = np.zeros(len(row))
+    for i in range(len(r)):
+        part = q[row, i] - r[i, col]
+        out += part * part
+    return out
+
+
 def packed(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(ids ascending, labels, one row a dimension) of references."""
     pdf = pdf.sort_values("ref_idx", ignore_index=True)
