@@ -169,7 +169,7 @@ class Model:
         out = np.einsum("ni,dij->dnj", x, self.p["in"], optimize=True) + self.p["in_bias"][:, None]
         none = np.zeros((2, 1, 3 * HIDDEN), F32)
         none[:, :, :HIDDEN] = 30
-        return np.concatenate([out, none], axis=1)
+        return np.ascontiguousarray(np.concatenate([out, none], axis=1))  # take() would copy it whole each time
 
     def states(self, gates: np.ndarray, rows: np.ndarray, keep: list | None = None) -> np.ndarray:
         """States of both GRUs at each word: (rows, WINDOW, 2 * HIDDEN)."""
