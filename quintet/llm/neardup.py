@@ -46,14 +46,14 @@ U = np.uint64
 
 
 def signed(docs: DataFrame, id_col: str, text_col: str, width: int, coords: int) -> DataFrame:
-    """(id, n, cid, sig): set size, 64-bit class id of the set, and MinHash values."""
+    """(id, t, n, cid, sig): the text's hash, set size, 64-bit class id of the set, and MinHash values."""
 
     def sign(batches):
         flip, by = shingles.stream(3, coords), shingles.stream(4, coords) | U(1)
         import xxhash
 
-        for b in common.by_bytes(batches, text_col, 1 << 20):
-            own = shingles.sets(common.utf8(b.column(text_col)), width)
+        for b in common.by_bytes(batches, "text", 1 << 20):
+            own = shingles.sets(common.utf8(b.column("text")), width)
             n = np.array([len(s) for s in own], np.int64)
             sig = np.zeros((len(own), coords), U)
             full = np.flatnonzero(n)
@@ -63,9 +63,10 @@ def signed(docs: DataFrame, id_col: str, text_col: str, width: int, coords: int)
                     sig[full, k] = np.minimum.reduceat((flat ^ flip[k]) * by[k], at)
             ids = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) if len(s) else None for s in own]
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1) * coords, pa.int32()), pa.array(sig.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([b.column(id_col), pa.array(n), pa.array(ids, pa.int64()), lists], names=["id", "n", "cid", "sig"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("t"), pa.array(n), pa.array(ids, pa.int64()), lists], names=["id", "t", "n", "cid", "sig"])
 
-    return docs.select(F.col(id_col).cast("long").alias(id_col), text_col).mapInArrow(sign, "id long, n long, cid long, sig array<long>")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(sign, "id long, t long, n long, cid long, sig array<long>")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
@@ -151,10 +152,11 @@ def near_duplicates(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, coords: int = COORDS,
     least: int = LEAST, percent: int = PERCENT, star_rounds: int = 2,
 ) -> DataFrame:
-    """(id_col, n_shingles, cid, component_id, kept), a row for each of docs.
+    """(id_col, n_shingles, cid, text_hash, component_id, kept), a row for each of docs.
 
     component_id: smallest id reachable over links of 100 * intersection >=
-    percent * union; kept: the id is that. cid: the class of equal sets.
+    percent * union; kept: the id is that. cid: the class of equal sets;
+    text_hash: xxhash64 of the text, which tells rows of one id apart.
     """
     rows = common.cut(signed(docs, id_col, text_col, width, coords))
     classes = common.cut(rows.filter("cid is not null").groupBy("cid").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")))
@@ -203,19 +205,22 @@ def near_duplicates(
         named = named.join(labels.toDF("cid", "component"), "cid", "left").select("cid", "rep", F.coalesce("component", "cid").alias("component"))
         least_id = named.groupBy("component").agg(F.min("rep").alias("component_id"))
         named = named.join(least_id, "component").select("cid", "component_id")
-    found = rows.select("id", "n", "cid").join(named, "cid", "left")
+    found = rows.select("id", "t", "n", "cid").join(named, "cid", "left")
     ident = F.when(F.col("cid").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return found.select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "cid", ident.alias("component_id"), F.col("id").eqNullSafe(ident).alias("kept")
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "cid", F.col("t").alias("text_hash"), ident.alias("component_id"), F.col("id").eqNullSafe(ident).alias("kept")
     )
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's digest of `documents`."""
-    return near_duplicates(common.table(spark, sf_dir, "documents")).drop("cid")
+    return near_duplicates(common.table(spark, sf_dir, "documents")).drop("cid", "text_hash")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: those that are their component's smallest id."""
-    gone = near_duplicates(docs).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
+    """One document of each group: those that are their component's smallest id; rows equal in id and text stay together."""
+    own, name, back = common.masked(docs)
+    gone = near_duplicates(docs).filter("not kept").select("doc_id", "text_hash").distinct()
+    hashed = own.withColumn("__t", F.xxhash64(name["text"]))
+    same = F.col(name["doc_id"]).cast("long").eqNullSafe(gone["doc_id"]) & (F.col("__t") == gone["text_hash"])
+    return back(hashed.join(gone, same, "left_anti"))
