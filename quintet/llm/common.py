@@ -28,7 +28,9 @@ def shared_dir(spark: SparkSession) -> str:
     threads are on this machine; a cluster must name one.
     """
     if found := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
-        return found
+        # with its file system named, since executors' Python opens files by URI
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found)
+        return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(path).toString()
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     own = "file://" + tempfile.mkdtemp(prefix="quintet-")
@@ -50,6 +52,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete shuffle files and checkpoints that nothing refers to any more.
+
+    It does so when the driver's garbage is collected, which between the rounds
+    of an iteration may be long after their files have filled the disks.
+    """
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def masked(docs: DataFrame):
     """(docs under column names that clash with nothing, their names by the old ones, the way back)."""
     from pyspark.sql import functions as F
