@@ -18,9 +18,12 @@ A group of classes under one value never becomes all its pairs. Round by round
 each member is compared with two hubs of its group that lie in other
 components, verified links merge components, and values within a single
 component are skipped from then on, which resolves groups of near copies in a
-number of pairs linear in their size. What is left last, members of different
-components that still share enough values, is compared pair by pair, so that
-no link is lost.
+number of pairs linear in their size. Members of different components that
+still share enough values are looked up once more, by the shingles themselves:
+the same skipping and prefixes, now with the exact number of shingles that a
+link needs, leave a member that is far from all others without a single lookup.
+What is left after further rounds of hubs is compared pair by pair under the
+rarest shingles, so that no link is lost.
 
 Comparing streams the members past their hub: rows are dealt by hub and a salt
 that splits hubs of many partners, sorted so that the hub's set comes first.
@@ -88,6 +91,31 @@ def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, wi
     return both.select("cid", "text").mapInArrow(pack, "cid long, set binary")
 
 
+#: Bits of the filter that within() broadcasts; its 8 MB don't depend on the input.
+FILTER_BITS = 1 << 26
+
+
+def within(docs: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """docs without most of those that have none of the ids, so that their texts needn't be shuffled.
+
+    A filter of fixed size: the more ids, the more other rows pass, and a join decides.
+    """
+    place = F.pmod(F.xxhash64(F.col("id")), F.lit(FILTER_BITS))
+    words = ids.select((place / 64).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {FILTER_BITS}) % 64 as int))").alias("bit"))
+    found = words.groupBy("w").agg(F.expr("bit_or(bit)").alias("bits")).toArrow()
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    bits[found.column("w").to_numpy()] = found.column("bits").to_numpy()
+    sent = docs.sparkSession.sparkContext.broadcast(bits)
+    at = docs.withColumn("__at", F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(FILTER_BITS)))
+
+    def keep(batches):
+        for b in batches:
+            where = b.column(b.num_columns - 1).to_numpy()
+            yield b.filter(pa.array((sent.value[where >> 6] >> (where & 63) & 1).astype(bool)))
+
+    return at.mapInArrow(keep, at.schema).drop("__at")
+
+
 def verified(pairs: DataFrame, facts: DataFrame, least: int, percent: int) -> DataFrame:
     """(a, b, linked) of pairs (a, b): collisions counted on the signatures, then full sets compared."""
     salts = pairs.groupBy("a").agg(F.ceil(F.count("*") / 256).cast("int").alias("salts"))
@@ -119,17 +147,56 @@ def verified(pairs: DataFrame, facts: DataFrame, least: int, percent: int) -> Da
     return dealt.mapInArrow(compare, "a long, b long, linked boolean")
 
 
-def prefixes(members: DataFrame, least: int) -> DataFrame:
-    """(cid, label, key) of each class's rarest keys, among keys that several labels share."""
+def prefixes(members: DataFrame) -> DataFrame:
+    """(cid, label, key) of the rarest keys of members (cid, label, need, key), among keys that several labels share.
+
+    need: how many keys a link has to share. Fewer shared ones than that, and there is no link.
+    """
     keys = members.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("key", "n")
-    ranked = members.join(keys, "key").groupBy("cid", "label").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("ks"))
+    ranked = members.join(keys, "key").groupBy("cid", "label", "need").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("ks"))
     return (
-        ranked.filter(F.size("ks") >= least)
-        .select("cid", "label", F.explode(F.slice("ks", F.lit(1), F.size("ks") - least + 1)).alias("k"))
+        ranked.filter(F.size("ks") >= F.col("need"))
+        .select("cid", "label", F.explode(F.slice("ks", F.lit(1), F.size("ks") - F.col("need") + 1)).alias("k"))
         .select("cid", "label", "k.key")
     )
 
 
+def by_shingle(facts: DataFrame, wanted: DataFrame, percent: int) -> DataFrame:
+    """(cid, need, key): the shingles of wanted classes; a link shares at least `need` of them."""
+
+    def explode(batches):
+        for b in common.by_bytes(batches, "set", 1 << 20):
+            own = [np.frombuffer(raw, np.int64) for raw in b.column("set").to_pylist()]
+            n = np.array([len(x) for x in own])
+            need = -(-percent * n // 100)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(b.column("cid").to_numpy(), n)), pa.array(np.repeat(need, n), pa.int32()), pa.array(np.concatenate(own))], names=["cid", "need", "key"]
+            )
+
+    return facts.join(wanted, "cid", "left_semi").select("cid", "set").mapInArrow(explode, "cid long, need int, key long")
+
+
+def labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """members with the component that each class is in so far."""
+    if labels is None:
+        return members.withColumn("label", F.col("cid"))
+    return members.join(labels.toDF("cid", "component"), "cid", "left").withColumn("label", F.coalesce("component", "cid")).drop("component")
+
+
+def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """labels (node, component) after further links (a, b)."""
+    if labels is None:
+        return common.cut(components(links.toDF("u", "v")))
+    between = (
+        links.join(labels.toDF("a", "ca"), "a", "left").join(labels.toDF("b", "cb"), "b", "left")
+        .select(F.coalesce("ca", "a").alias("u"), F.coalesce("cb", "b").alias("v"))
+    )
+    more = components(between).toDF("component", "better")
+    old = labels.join(more, "component", "left").select("node", F.coalesce("better", "component").alias("component"))
+    new = more.join(labels.select(F.col("node").alias("component")), "component", "left_anti").toDF("node", "component")
+    return common.cut(old.union(new))
+
+
 def stars(rare: DataFrame) -> DataFrame:
     """Each member with two hubs of its group: those of least and greatest label, where the label differs."""
     one = F.struct("label", "cid")
@@ -165,38 +232,30 @@ def near_duplicates(
     shared = posts.join(keys, "key").groupBy("cid").agg(F.collect_list("key").alias("ks")).filter(F.size("ks") >= least)
     shared = common.cut(shared)
     wanted = classes.join(shared.select("cid"), "cid", "left_semi").select(F.col("rep").alias("id"), "cid", "sig")
-    facts = common.cut(full_sets(docs, wanted.select("id", "cid"), id_col, text_col, width).dropDuplicates(["cid"]).join(wanted.select("cid", "sig"), "cid"))
+    texts = within(docs.select(id_col, text_col), id_col, wanted.select("id"))
+    facts = common.cut(full_sets(texts, wanted.select("id", "cid"), id_col, text_col, width).dropDuplicates(["cid"]).join(wanted.select("cid", "sig"), "cid"))
+
+    common.release(docs.sparkSession)
 
-    members = shared.select("cid", F.col("cid").alias("label"), F.explode("ks").alias("key"))
     labels = tried = None
-    for turn in range(star_rounds + 1):
-        rare = common.cut(prefixes(members, least))
-        pairs = stars(rare) if turn < star_rounds else crossings(rare)
+    members = shared.select("cid", F.lit(least).alias("need"), F.explode("ks").alias("key"))
+    for turn in range(2 * star_rounds + 1):
+        if turn == star_rounds:  # by coordinates no longer, but by shingles
+            left = common.cut(prefixes(labelled(members, labels)).select("cid").distinct())
+            members = by_shingle(facts, left, percent)
+        rare = common.cut(prefixes(labelled(members, labels)))
+        if turn >= star_rounds:  # components only grow, so who isn't looked up now never will be
+            members = by_shingle(facts, rare.select("cid").distinct(), percent)
+        pairs = stars(rare) if turn < 2 * star_rounds else crossings(rare)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         seen = common.cut(verified(common.cut(pairs), facts, least, percent))
         failed = seen.filter("not linked").select("a", "b")
         tried = failed if tried is None else tried.union(failed)
         links = seen.filter("linked").select("a", "b")
-        if links.isEmpty():
-            continue
-        if labels is not None:  # between components found so far
-            of = labels.select("node", "component")
-            links = (
-                links.join(of.toDF("a", "ca"), "a", "left").join(of.toDF("b", "cb"), "b", "left")
-                .select(F.coalesce("ca", "a").alias("u"), F.coalesce("cb", "b").alias("v"))
-            )
-            merged = components(links).toDF("component", "better")
-            old = labels.join(merged, "component", "left").select("node", F.coalesce("better", "component").alias("component"))
-            new = merged.join(labels.select(F.col("node").alias("component")), "component", "left_anti").toDF("node", "component")
-            labels = common.cut(old.union(new))
-        else:
-            labels = common.cut(components(links.toDF("u", "v")))
-        if turn < star_rounds:
-            members = (
-                shared.join(labels.toDF("cid", "component"), "cid", "left")
-                .select("cid", F.coalesce("component", "cid").alias("label"), F.explode("ks").alias("key"))
-            )
+        if not links.isEmpty():
+            labels = merged(labels, links)
+        common.release(docs.sparkSession)
 
     named = classes.select("cid", "rep")
     if labels is None:
