@@ -3,7 +3,8 @@
 Writing: each task writes the pages of its partition as one .warc.gz in the
 shared folder, whole or not at all. Of pages with equal payloads of at least
 `min_revisit_bytes`, the one of largest id is a response and the others revisit
-it; that is decided on digests, before any payload is moved.
+it; that is decided on digests, before any payload is moved. A revisit's header
+tells the size and digest of the full payload.
 
 Reading is splittable: a task gets ranges of bytes. From a range's start it
 looks for the gzip magic; a place counts as a record if what follows inflates
@@ -68,6 +69,7 @@ def member(ident: int | None, url: str | None, payload: bytes, refers_to: int |
             f"WARC-Refers-To: {record_id(refers_to)}",
             "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
             f"X-Refers-To-Page-Id: {'' if refers_to is None else refers_to}",
+            f"X-Payload-Bytes: {len(payload)}",
         ]
     raw = "\r\n".join([*lines, "", ""]).encode() + block + b"\r\n\r\n"
     z = zlib.compressobj(1, zlib.DEFLATED, 31)
@@ -177,7 +179,11 @@ class Records:
 
 
 def read(archives: DataFrame, *, split_bytes: int = 4 << 20) -> DataFrame:
-    """A row for each record of archives (archive, bytes); payload size and digest of revisits are their response's."""
+    """A row for each record of archives (archive, bytes).
+
+    A revisit's payload size and digest are those that its header tells; archives
+    of other writers may lack the size, which resolved() then looks up.
+    """
     spark = archives.sparkSession
     ranges = archives.select("archive", "bytes", F.explode(F.expr(f"sequence(0L, greatest(bytes - 1, 0L), {split_bytes}L)")).alias("start"))
     ranges = ranges.repartition(common.partitions(spark), "archive", "start")
@@ -191,7 +197,7 @@ def read(archives: DataFrame, *, split_bytes: int = 4 << 20) -> DataFrame:
                     for place, head, n, digest in Records(f, start, min(size, start + split_bytes), size):
                         revisit = head["warc-type"] == "revisit"
                         own, ref = head.get("x-page-id"), head.get("x-refers-to-page-id")
-                        out.append((path, place, int(own) if own else None, head["warc-type"], int(ref) if ref else None, head.get("warc-target-uri"), None if revisit else n, head["warc-payload-digest"].removeprefix("sha1:") if revisit else digest))
+                        out.append((path, place, int(own) if own else None, head["warc-type"], int(ref) if ref else None, head.get("warc-target-uri"), n if not revisit else int(told) if (told := head.get("x-payload-bytes")) else None, head["warc-payload-digest"].removeprefix("sha1:") if revisit else digest))
                 if out:
                     kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["archive", "offset", "page_id", "record_type", "refers_to", "url", "payload_bytes", "payload_digest"])
@@ -200,7 +206,7 @@ def read(archives: DataFrame, *, split_bytes: int = 4 << 20) -> DataFrame:
 
 
 def resolved(records: DataFrame) -> DataFrame:
-    """records with the payload size of revisits taken from the response that they name by digest."""
+    """records with missing payload sizes of revisits taken from the response of the same digest."""
     sizes = records.filter("record_type = 'response'").groupBy("payload_digest").agg(F.max("payload_bytes").alias("full"))
     return records.join(sizes, "payload_digest", "left").withColumn("payload_bytes", F.coalesce("payload_bytes", "full")).drop("full")
 
@@ -208,4 +214,4 @@ def resolved(records: DataFrame) -> DataFrame:
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The contract's digest of `pages`."""
     archives = write(common.table(spark, sf_dir, "pages"), common.fresh_dir(spark, "warc"))
-    return resolved(read(archives)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return read(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
