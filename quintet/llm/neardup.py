@@ -148,21 +148,22 @@ def verified(pairs: DataFrame, facts: DataFrame, least: int, percent: int) -> Da
 
 
 def prefixes(members: DataFrame) -> DataFrame:
-    """(cid, label, key) of the rarest keys of members (cid, label, need, key), among keys that several labels share.
+    """(cid, label, total, key, left) of the rarest keys of members (cid, label, need, total, key), among keys that several labels share.
 
     need: how many keys a link has to share. Fewer shared ones than that, and there is no link.
+    left: how many shared keys there are from this one on, in an order that is the same for all.
     """
     keys = members.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("key", "n")
-    ranked = members.join(keys, "key").groupBy("cid", "label", "need").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("ks"))
+    ranked = members.join(keys, "key").groupBy("cid", "label", "need", "total").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("ks"))
     return (
         ranked.filter(F.size("ks") >= F.col("need"))
-        .select("cid", "label", F.explode(F.slice("ks", F.lit(1), F.size("ks") - F.col("need") + 1)).alias("k"))
-        .select("cid", "label", "k.key")
+        .select("cid", "label", "total", F.size("ks").alias("size"), F.posexplode(F.slice("ks", F.lit(1), F.size("ks") - F.col("need") + 1)).alias("at", "k"))
+        .select("cid", "label", "total", "k.key", (F.col("size") - F.col("at")).alias("left"))
     )
 
 
 def by_shingle(facts: DataFrame, wanted: DataFrame, percent: int) -> DataFrame:
-    """(cid, need, key): the shingles of wanted classes; a link shares at least `need` of them."""
+    """(cid, need, total, key): the shingles of wanted classes; a link shares at least `need` of their `total`."""
 
     def explode(batches):
         for b in common.by_bytes(batches, "set", 1 << 20):
@@ -170,10 +171,10 @@ def by_shingle(facts: DataFrame, wanted: DataFrame, percent: int) -> DataFrame:
             n = np.array([len(x) for x in own])
             need = -(-percent * n // 100)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(b.column("cid").to_numpy(), n)), pa.array(np.repeat(need, n), pa.int32()), pa.array(np.concatenate(own))], names=["cid", "need", "key"]
+                [pa.array(np.repeat(b.column("cid").to_numpy(), n)), pa.array(np.repeat(need, n), pa.int32()), pa.array(np.repeat(n, n), pa.int32()), pa.array(np.concatenate(own))], names=["cid", "need", "total", "key"]
             )
 
-    return facts.join(wanted, "cid", "left_semi").select("cid", "set").mapInArrow(explode, "cid long, need int, key long")
+    return facts.join(wanted, "cid", "left_semi").select("cid", "set").mapInArrow(explode, "cid long, need int, total int, key long")
 
 
 def labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -207,10 +208,16 @@ def stars(rare: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def crossings(rare: DataFrame) -> DataFrame:
-    """All pairs of different labels that meet under a key."""
-    other = rare.select("key", F.col("cid").alias("other"), F.col("label").alias("its"))
-    return rare.join(other, "key").filter("label < its").select(
+def crossings(rare: DataFrame, percent: int) -> DataFrame:
+    """All pairs of different labels that meet under a key and may still share enough.
+
+    The first key that a link's sets have in common has all others behind it on
+    both sides; a key with fewer left than the link needs isn't that, or there is
+    no link.
+    """
+    other = rare.select("key", F.col("cid").alias("other"), F.col("label").alias("its"), F.col("total").alias("its_total"), F.col("left").alias("its_left"))
+    enough = (100 + percent) * F.least("left", "its_left") >= percent * (F.col("total") + F.col("its_total"))
+    return rare.join(other, "key").filter((F.col("label") < F.col("its")) & enough).select(
         F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b")
     ).distinct()
 
@@ -238,7 +245,7 @@ def near_duplicates(
     common.release(docs.sparkSession)
 
     labels = tried = None
-    members = shared.select("cid", F.lit(least).alias("need"), F.explode("ks").alias("key"))
+    members = shared.select("cid", F.lit(least).alias("need"), F.lit(coords).alias("total"), F.explode("ks").alias("key"))
     for turn in range(2 * star_rounds + 1):
         if turn == star_rounds:  # by coordinates no longer, but by shingles
             left = common.cut(prefixes(labelled(members, labels)).select("cid").distinct())
@@ -246,7 +253,7 @@ def near_duplicates(
         rare = common.cut(prefixes(labelled(members, labels)))
         if turn >= star_rounds:  # components only grow, so who isn't looked up now never will be
             members = by_shingle(facts, rare.select("cid").distinct(), percent)
-        pairs = stars(rare) if turn < 2 * star_rounds else crossings(rare)
+        pairs = stars(rare) if turn < 2 * star_rounds else crossings(rare, percent)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
         seen = common.cut(verified(common.cut(pairs), facts, least, percent))
