@@ -44,6 +44,22 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+def hashes_of(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, at_once: int = 1 << 20) -> np.ndarray:
+    """Hashes of the words at these places, about at_once bytes at a time; a longer word is taken whole."""
+    out = np.empty(len(starts), U)
+    i = 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + at_once)))
+        first = starts[i]
+        s, e = starts[i:j] - first, ends[i:j] - first
+        up, down = powers(int(e[-1]) + 1)
+        sums = np.zeros(len(up), U)
+        np.cumsum(BYTE[raw[first : ends[j - 1]]] * up[:-1], out=sums[1:])
+        out[i:j] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(U))
+        i = j
+    return out
+
+
 def words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order, and each text's first index among them (one more at the end)."""
     whole = b" ".join([t or b"" for t in texts] + [b""])
@@ -51,10 +67,7 @@ def words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     inside = np.concatenate([[False], ~SPACE[raw], [False]])
     edge = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = edge[::2], edge[1::2]
-    up, down = powers(len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, U)
-    np.cumsum(BYTE[raw] * up[:-1], out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U))
+    hashes = hashes_of(raw, starts, ends)
     sizes = np.fromiter((len(t or b"") + 1 for t in texts), np.int64, len(texts))
     return hashes, np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes)]))
 

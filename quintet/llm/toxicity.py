@@ -55,17 +55,14 @@ class Words:
         inside = np.concatenate([[False], raw != 0x20, [False]])
         edge = np.flatnonzero(inside[1:] != inside[:-1])
         starts, ends = edge[::2], edge[1::2]
-        up, down = shingles.powers(len(raw) + 1)
-        sums = np.zeros(len(raw) + 1, U)
-        np.cumsum(shingles.BYTE[raw] * up[:-1], out=sums[1:])
-        hashes = shingles.mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U))
+        hashes = shingles.hashes_of(raw, starts, ends)
         sizes = np.fromiter((len(t or b"") + 1 for t in texts), np.int64, len(texts))
         self.first = np.searchsorted(starts, np.concatenate([[0], np.cumsum(sizes)]))
         distinct, at, sequence, count = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
         order = np.argsort(-count, kind="stable")  # frequent words side by side in memory
         place = np.empty_like(order)
         place[order] = np.arange(len(order))
-        distinct, at, self.sequence = distinct[order], at[order], place[sequence]
+        distinct, at, self.sequence = distinct[order], at[order], place[sequence].astype(np.int32)
         self.word = (distinct & U(BUCKETS - 1)).astype(np.int64)
         self.grams, self.gram_first = self.grams_of(raw, starts[at], ends[at])
 
@@ -88,7 +85,7 @@ class Words:
             code = code * U(0x9E3779B97F4A7C15) + padded[k : k + len(marked)].astype(U) + U(k + 1)
             if k + 1 in GRAMS:
                 some = np.flatnonzero((left > k) | ((inner == 0) & (left <= k)))
-                found.append((shingles.mix(code[some]) & U(BUCKETS - 1)).astype(np.int64))
+                found.append((shingles.mix(code[some]) & U(BUCKETS - 1)).astype(np.int32))
                 of.append(owner[some])
         of, found = np.concatenate(of), np.concatenate(found)
         order = np.argsort(of, kind="stable")
@@ -117,18 +114,19 @@ def log_odds(parts: list[Words], labels: np.ndarray, prior: float = 10.0) -> tup
     return tables[0], tables[1]
 
 
-def inputs(words: Words, odds, tables: dict[str, np.ndarray]) -> np.ndarray:
-    """The input of each distinct word."""
-    n = np.maximum(1, np.diff(words.gram_first)).astype(F32)[:, None]
-    if not len(words.word):
-        return np.zeros((0, INPUT), F32)
-    grams = tables["grams"][words.grams & TRAINED - 1]
-    gram_odds = odds[1][words.grams]
-    cut = words.gram_first[:-1]
-    return np.concatenate([
-        tables["words"][words.word & TRAINED - 1], np.add.reduceat(grams, cut, axis=0) / n,
-        odds[0][words.word][:, None], np.add.reduceat(gram_odds, cut)[:, None] / n, np.maximum.reduceat(gram_odds, cut)[:, None],
-    ], axis=1).astype(F32)
+def inputs(words: Words, odds, tables: dict[str, np.ndarray], at_once: int = 1 << 15) -> np.ndarray:
+    """The input of each distinct word; so many at a time, since a word has some thirty grams."""
+    out = np.empty((len(words.word), INPUT), F32)
+    for a in range(0, len(words.word), at_once):
+        word, first = words.word[a : a + at_once], words.gram_first[a : a + at_once + 1]
+        grams, cut = words.grams[first[0] : first[-1]], first[:-1] - first[0]
+        n = np.maximum(1, np.diff(first)).astype(F32)[:, None]
+        own = odds[1][grams]
+        out[a : a + at_once] = np.concatenate([
+            tables["words"][word & TRAINED - 1], np.add.reduceat(tables["grams"][grams & TRAINED - 1], cut, axis=0) / n,
+            odds[0][word][:, None], np.add.reduceat(own, cut)[:, None] / n, np.maximum.reduceat(own, cut)[:, None],
+        ], axis=1)
+    return out
 
 
 def windows(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -137,10 +135,10 @@ def windows(words: Words) -> tuple[np.ndarray, np.ndarray]:
     count = np.maximum(1, -(-(n - STEP) // STEP))
     text = np.repeat(np.arange(len(n)), count)
     start = (np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)) * STEP
-    place = (words.first[:-1][text] + start)[:, None] + np.arange(WINDOW)
-    inside = place < words.first[1:][text][:, None]
-    padded = np.append(words.sequence, 0)
-    return np.where(inside, padded[np.minimum(place, len(padded) - 1)], len(words.word)), text
+    place = (words.first[:-1][text] + start).astype(np.int32)[:, None] + np.arange(WINDOW, dtype=np.int32)
+    rows = np.append(words.sequence, np.int32(0))[np.minimum(place, len(words.sequence))]
+    rows[place >= words.first[1:][text][:, None]] = len(words.word)
+    return rows, text
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
