@@ -16,10 +16,11 @@ Counts are of all documents but the one scored (leave-one-out), so a text is
 judged by the rest of the corpus and backing off happens.
 
 Scale: an n-gram leaves a chunk once however often it stands there, as a
-delta-coded key of about six bytes; a word that is everywhere is one entry a
+delta-coded key of under six bytes; a word that is everywhere is one entry a
 chunk. Buckets follow the number of characters, so a bucket's keys fit in
 memory, and hashes deal them evenly. Texts are shuffled once to their chunks,
-and that shuffle is used for both passes. No count is cut off or sampled.
+compressed, and that shuffle is used for both passes. No count is cut off or
+sampled.
 
 Defined results: a null or empty text has no words, no score (null) and
 log-probability 0; rows that share an id are scored each by itself, leaving out
@@ -37,9 +38,11 @@ from pyspark.sql import functions as F
 
 from quintet.llm import common, shingles
 
-ORDER, BACKOFF = 2, 0.4
+ORDER, BACKOFF = 3, 0.4
 CHUNK_CHARS, BUCKET_CHARS = 8_000_000, 12_000_000
+PACK_BYTES = 64 << 20  # texts that a task holds before it packs them by chunk
 U = np.uint64
+PACKS = "chunk int, docs binary"
 BLOCKS = "bucket int, chunk int, n long, keys binary, counts binary"
 ANSWERS = "chunk int, bucket int, words long, counts binary"
 SCORES = "id long, n_words long, log_prob double, n_seen long"
@@ -60,12 +63,58 @@ def grams(texts: list[bytes | None], order: int):
     return found
 
 
+def packed_docs(table: pa.Table) -> bytes:
+    """(id, text) rows as a compressed Arrow stream."""
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, table.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as w:
+        w.write_table(table)
+    return out.getvalue().to_pybytes()
+
+
+def unpacked_docs(packs: pa.Table) -> tuple[list[int | None], list[bytes | None]]:
+    """Ids and texts of a chunk's packs."""
+    ids, texts = [], []
+    for raw in packs.column("docs").to_pylist():
+        table = pa.ipc.open_stream(raw).read_all()
+        ids += table.column("id").to_pylist()
+        for part in table.column("text").chunks:
+            texts += common.utf8(part)
+    return ids, texts
+
+
+def packs(batches):
+    """Record batches (id, text, chunk) as one pack a chunk of every PACK_BYTES."""
+    held, size = [], 0
+
+    def flush():
+        table = pa.Table.from_batches(held)
+        chunk = table.column("chunk").to_numpy()
+        order = np.argsort(chunk, kind="stable")
+        edges = np.flatnonzero(np.diff(chunk[order], prepend=-1, append=-1))
+        docs = table.select(["id", "text"])
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk[order[a]]], pa.int32()), "docs": pa.array([packed_docs(docs.take(order[a:b]))], pa.binary())})
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        size += b.nbytes
+        if size >= PACK_BYTES:
+            yield from flush()
+            held, size = [], 0
+    if held:
+        yield from flush()
+
+
 def packed_keys(keys: np.ndarray) -> bytes:
-    """Ascending 64-bit keys as differences of as many bytes as the largest needs."""
+    """Ascending 64-bit keys as differences of as many bytes as the largest needs, highest bytes compressed."""
     gaps = np.diff(keys, prepend=U(0))
     width = max(1, (int(gaps[1:].max() if len(gaps) > 1 else 0).bit_length() + 7) // 8)
     body = gaps[1:].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
-    return bytes([width]) + int(gaps[0]).to_bytes(8, "little") + np.ascontiguousarray(body.T).tobytes()
+    planes = np.ascontiguousarray(body.T)
+    top = zlib.compress(planes[-1].tobytes(), 1)  # the lower bytes are random
+    return bytes([width]) + int(gaps[0]).to_bytes(8, "little") + planes[:-1].tobytes() + top
 
 
 def unpacked_keys(raw: bytes, n: int) -> np.ndarray:
@@ -73,7 +122,9 @@ def unpacked_keys(raw: bytes, n: int) -> np.ndarray:
     gaps = np.zeros((n, 8), np.uint8)
     gaps[0] = np.frombuffer(raw, np.uint8, 8, 1)
     if n > 1:
-        gaps[1:, :width] = np.frombuffer(raw, np.uint8, offset=9).reshape(width, n - 1).T
+        low = (width - 1) * (n - 1)
+        gaps[1:, : width - 1] = np.frombuffer(raw, np.uint8, low, 9).reshape(width - 1, n - 1).T
+        gaps[1:, width - 1] = np.frombuffer(zlib.decompress(raw[9 + low :]), np.uint8)
     return np.cumsum(gaps.view("<u8").ravel(), dtype=U)
 
 
@@ -99,10 +150,10 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", or
     chunks, buckets = 1 + chars // CHUNK_CHARS, 1 + chars * order // BUCKET_CHARS
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(chunks)).cast("int"))
-    dealt = rows.repartition(max(common.partitions(spark), 1), "chunk")
+    dealt = rows.mapInArrow(packs, PACKS).repartition(max(common.partitions(spark), 1), "chunk")
 
     def explode(table: pa.Table) -> pa.Table:
-        all_keys = np.concatenate([k for k, _ in grams(common.utf8(table.column("text").combine_chunks()), order)])
+        all_keys = np.concatenate([k for k, _ in grams(unpacked_docs(table)[1], order)])
         keys, counts = np.unique(all_keys, return_counts=True)
         edges = np.append(np.searchsorted(keys, bounds(buckets)), len(keys))
         chunk, out = table.column("chunk")[0].as_py(), []
@@ -128,22 +179,26 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", or
     answers = blocks.groupBy("bucket").applyInArrow(count, ANSWERS)
     words = docs.select(F.coalesce(F.sum(F.size(F.filter(F.split(text_col, "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != ""))), F.lit(0)).alias("n")).first()[0]
 
-    def sum_up(texts: pa.Table, table: pa.Table) -> pa.Table:
-        ids = texts.column("id").to_pylist()
-        found = grams(common.utf8(texts.column("text").combine_chunks()), order)
-        keys = np.unique(np.concatenate([k for k, _ in found]))
+    def sum_up(docs: pa.Table, table: pa.Table) -> pa.Table:
+        ids, texts = unpacked_docs(docs)
+        found = grams(texts, order)
         in_order = np.argsort(table.column("bucket").to_numpy()) if table.num_rows else []
         raw = table.column("counts").to_pylist()
         total = np.concatenate([unpacked_counts(raw[i]) for i in in_order]) if len(in_order) else np.zeros(0, np.int64)
         n_docs = len(ids)
         sizes = np.bincount(found[0][1], minlength=n_docs)
         rest = np.maximum(1, words - sizes)  # words of the other documents
-        counts, places = [], []
-        for key, doc in found:  # of each n-gram among the other documents
-            at = np.searchsorted(keys, key)
-            pair = np.unique(doc * np.int64(len(keys) + 1) + at, return_inverse=True, return_counts=True)
-            counts.append(total[at] - pair[2][pair[1]])
-            places.append(doc)
+        # of each n-gram among the other documents; documents ascend within an order, so a document's equal n-grams sort side by side
+        places = [doc for _, doc in found]
+        key, doc = (np.concatenate(x) for x in zip(*found, strict=True))
+        by = np.argsort(key, kind="stable")
+        key, doc = key[by], doc[by]
+        new = np.diff(key, prepend=~key[:1]) != 0
+        first = np.flatnonzero(new | (np.diff(doc, prepend=-1) != 0))
+        own = np.diff(first, append=len(key))
+        other = np.empty(len(key), np.int64)
+        other[by] = np.repeat(total[np.cumsum(new)[first] - 1] - own, own)
+        counts = np.split(other, np.cumsum([len(x) for x in places])[:-1])
         logs = np.log(np.maximum(counts[0], 0.5) / rest[found[0][1]])
         seen = counts[0] > 0
         start = np.cumsum(sizes) - sizes
@@ -172,8 +227,16 @@ def arrays(rows: list[tuple], schema: str) -> pa.Table:
     return pa.table([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
-def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bigram stupid-backoff scores of `documents`, each by the counts of all others."""
-    found = score(common.table(spark, sf_dir, "documents"))
+def digest(found: DataFrame) -> DataFrame:
     mean = F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words"))
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_seen", F.round("log_prob", 6).alias("log_prob"), F.round(mean, 6).alias("score"))
+
+
+def op6_trigram_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trigram stupid-backoff scores of `documents`, each by the counts of all others."""
+    return digest(score(common.table(spark, sf_dir, "documents"), order=3))
+
+
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with bigrams, the order that this query's SQL fixes."""
+    return digest(score(common.table(spark, sf_dir, "documents"), order=2))

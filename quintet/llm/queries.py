@@ -15,6 +15,7 @@ QUERIES = {
     "op3_line_dedup": linededup.op3_line_dedup,
     "op4_near_dedup": neardup.op4_near_dedup,
     "op5_warc": warc.op5_warc,
+    "op6_trigram_score": lmscore.op6_trigram_score,
     "op6_lm_score": lmscore.op6_lm_score,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_media": media.op8_media,

@@ -386,6 +386,24 @@ def test_scores_over_many_chunks(spark, docs, monkeypatch):
     assert rows_of(lmscore.score(docs), "id", "n_words", F.round("log_prob", 8), "n_seen") == whole
 
 
+def test_query_counts_trigrams(spark, tmp_path):
+    from quintet.llm import queries
+
+    rows = [(0, "a b c"), (1, "A b\nc"), (2, "x b d"), (3, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.QUERIES["op6_trigram_score"](spark, str(tmp_path)).collect()}
+    # c follows "a b" in all other documents, but b alone in half of them
+    assert got[0]["log_prob"] == got[1]["log_prob"] == round(math.log(1 / 6), 6) and got[0]["n_seen"] == 3
+    assert got[3]["n_words"] == 0 and got[3]["score"] is None
+
+
+def test_scores_of_documents_packed_in_parts(spark, docs, monkeypatch):
+    whole = rows_of(lmscore.score(docs, order=3), "id", "n_words", F.round("log_prob", 8), "n_seen")
+    monkeypatch.setattr(lmscore, "PACK_BYTES", 1)
+    monkeypatch.setattr(lmscore, "CHUNK_CHARS", 3000)
+    assert rows_of(lmscore.score(docs.repartition(20), order=3), "id", "n_words", F.round("log_prob", 8), "n_seen") == whole
+
+
 def test_scores_odd(odd, none):
     assert lmscore.score(odd).count() == 6
     assert lmscore.score(none).count() == 0
