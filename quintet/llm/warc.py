@@ -143,7 +143,8 @@ class Records:
 
     def decode(self, place: int):
         """(header, payload size, payload digest, end of the member), or None if no record starts here."""
-        z, raw, at = zlib.decompressobj(31), b"", place
+        z, raw, at = zlib.decompressobj(31), bytearray(), place
+        looked = 0  # bytes of raw without the header's end
         head = None
         sha, n, left = hashlib.sha1(), 0, 0
         in_payload = False
@@ -156,9 +157,11 @@ class Records:
                 raw += z.decompress(piece, CHUNK)
                 while True:
                     if head is None:
-                        if not raw.startswith(b"WARC/"[: len(raw)]) or len(raw) > 1 << 20:
+                        # the prefix rejects false magic; a true header may be of any length
+                        if not raw.startswith(b"WARC/"[: len(raw)]):
                             return None
-                        if (cut := raw.find(b"\r\n\r\n")) >= 0:
+                        cut, looked = raw.find(b"\r\n\r\n", looked), max(0, len(raw) - 3)
+                        if cut >= 0:
                             head = dict((k.strip().lower(), v.strip()) for k, _, v in (x.partition(":") for x in raw[:cut].decode("utf-8", "replace").split("\r\n")[1:]))
                             raw, left = raw[cut + 4 :], int(head["content-length"])
                     if head is not None and not in_payload and (cut := raw.find(b"\r\n\r\n", 0, left)) >= 0:
@@ -167,8 +170,8 @@ class Records:
                         sha.update(raw[:left])
                         n += min(left, len(raw))
                         left -= min(left, len(raw))
-                        raw = b""
-                    if not z.unconsumed_tail:
+                        raw = bytearray()
+                    if z.eof or not z.unconsumed_tail:  # at the end, the tail is the next member
                         break
                     raw += z.decompress(z.unconsumed_tail, CHUNK)
         except (zlib.error, KeyError, ValueError):

@@ -347,6 +347,17 @@ def test_warc(spark, tmp_path):
     assert warc.read(warc.write(none, f"file://{tmp_path}/none")).count() == 0
 
 
+def test_warc_long_urls(spark, tmp_path):
+    long = "http://example.org/" + "é\x01 a" * 500_000
+    rows = [(1, "http://example.org/", "<p>one</p>"), (2, long, "<p>two</p>"), (3, long + "b", "<p>two</p>"), (4, None, None)]
+    archives = warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), f"file://{tmp_path}/long")
+    for split in (1000, 4 << 20):
+        got = {r["page_id"]: r for r in warc.read(archives, split_bytes=split).collect()}
+        assert sorted(got) == [1, 2, 3, 4], split
+        assert got[2]["refers_to"] == 3 and got[2]["record_type"] == "revisit" and got[2]["payload_bytes"] == 10
+        assert got[3]["url"] == (long + "b").replace("\x01", "%01").replace(" ", "%20")
+
+
 # 6
 
 
