@@ -13,21 +13,30 @@ Training is multiple-instance: a document is as toxic as its most toxic window,
 so windows are chosen by the current model, first by log-odds, then trained on
 by Adam with hand-written back-propagation through time. Log-odds that a
 document is trained on come from the other half of the sample, so they don't
-hold its own label; a quarter of the sample is set aside for the regression. The sample is bounded: up to `most_rows` labelled documents
-of each class, of up to `most_chars` characters, in the order of a hash; it is
-fitted on the driver and the model, a few MB however large the corpus, is
-broadcast. Seeds are fixed, so reruns agree.
+hold its own label; a quarter of the sample is set aside for the regression.
+Each class is dealt over the halves and the quarter by itself. The sample is
+bounded by two documented parameters: up to `rows` labelled documents of each
+class in the order of a hash, and of these, in that order, those that start
+within the first `most_bytes` of text; none is left out for its length. One
+executor task fits the model, and a few MB, however large the corpus, come to
+the driver and are broadcast. Seeds are fixed, so reruns agree.
 
 Only the text is an input of a score. Rows whose crc32(id as text) mod 3 is 1
 are held out: their labels are never read.
 
 Defined results: a text without words has nothing toxic and scores 0; a label row
-that repeats an id counts once, toxic if any is; null labels are no labels; a
-null id is not held out; without labels of both classes every score is below 1e-9.
+that repeats an id counts once, toxic if any is, and of documents that share an
+id the least text is learned from; null labels are no labels; a null id is not
+held out; without labels of both classes every score is below 1e-9, and a class
+of under three rows is fitted and set aside with all its rows. Further columns
+of documents are kept, save those named like a result, which the result
+replaces; in the stage every column is kept.
 """
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -40,7 +49,7 @@ WINDOW, STEP = 32, 16
 HIDDEN, EMBED, BUCKETS, TRAINED = 8, 4, 1 << 19, 1 << 14
 INPUT = 2 * EMBED + 3
 GRAMS = (3, 4, 5)
-ROWS, CHARS = 2500, 100_000
+ROWS, BYTES = 2500, 32 << 20
 THRESHOLD = 0.7
 RANKS = (1, 3, 5, 7)
 U, F32 = np.uint64, np.float32
@@ -266,16 +275,22 @@ def chosen(score: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
     return np.sort(order[rank < n])
 
 
+def dealt(labels: np.ndarray) -> list[np.ndarray]:
+    """Rows of two halves to fit on and of a quarter set aside; a class of under three rows is in each with all of them."""
+    part = np.zeros(len(labels), np.int64)
+    for own in (np.flatnonzero(labels == 0), np.flatnonzero(labels == 1)):
+        part[own] = np.resize((0, 1, 2, 0, 1, 0, 2, 1), len(own)) if len(own) > 2 else -1
+    return [np.flatnonzero((part == k) | (part < 0)) for k in range(3)]
+
+
 def train(texts: list[bytes], labels: np.ndarray, *, rounds: int = 2, epochs: int = 4, batch: int = 192, steps: int = 150, rate: float = 0.015, seed: int = 11) -> Model:
     """Fit the model; texts come in a fixed order."""
     r, model = np.random.default_rng(seed), Model()
     labels = labels.astype(F32)
-    aside = np.arange(len(texts)) % 4 == 3
-    halves = [np.flatnonzero((np.arange(len(texts)) // 4 % 2 == k) & ~aside) for k in (0, 1)]
-    rest = np.flatnonzero(aside)
-    if any(len(set(labels[h])) < 2 for h in (*halves, rest)):
+    if len(set(labels.tolist())) < 2:
         model.scale[-1] = -30
         return model
+    *halves, rest = dealt(labels)
     parts = [Words([texts[i] for i in h]) for h in halves]
     odds = [log_odds([p], labels[h]) for p, h in zip(parts, halves, strict=True)]
     odds.reverse()  # each half is seen with the other's log-odds
@@ -371,29 +386,45 @@ def held_out(column):
     return F.coalesce(F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def sample(docs: DataFrame, labels: DataFrame, rows: int = ROWS, chars: int = CHARS) -> tuple[list[bytes], np.ndarray]:
-    """Up to `rows` labelled documents of each class that aren't held out, of up to `chars` characters."""
+def sample(docs: DataFrame, labels: DataFrame, rows: int = ROWS) -> DataFrame:
+    """(h, doc_id, text, toxic): up to `rows` labelled documents of each class that aren't held out."""
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
     known = known.filter(~held_out(F.col("doc_id")))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     picked = known.filter("toxic = 1").orderBy(*order).limit(rows).union(known.filter("toxic = 0").orderBy(*order).limit(rows))
     # at most 2 * rows ids, a bound that doesn't depend on the input
-    found = docs.select("doc_id", "text").filter(F.length("text") <= chars).join(F.broadcast(picked), "doc_id")
-    got = found.dropDuplicates(["doc_id"]).select(F.xxhash64("doc_id").alias("h"), "doc_id", "text", "toxic").collect()
-    got.sort(key=lambda r: (r["h"], r["doc_id"]))
-    return [r["text"].encode() for r in got], np.array([r["toxic"] for r in got], F32)
+    found = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(picked), "doc_id")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).select(F.xxhash64("doc_id").alias("h"), "doc_id", "text", "toxic")
+
+
+def fitted(docs: DataFrame, labels: DataFrame, rows: int = ROWS, most_bytes: int = BYTES) -> bytes:
+    """A pickled model, fitted by one executor task to the sample."""
+
+    def fit(batches):
+        texts, toxic, size = [], [], 0
+        for b in batches:
+            for text, y in zip(common.utf8(b.column("text")), b.column("toxic").to_pylist(), strict=True):
+                if size < most_bytes:
+                    texts.append(text)
+                    toxic.append(y)
+                    size += len(text)
+        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(train(texts, np.array(toxic, F32)))], pa.binary())})
+
+    one = sample(docs, labels, rows).repartition(1).sortWithinPartitions("h", "doc_id")
+    found = one.mapInArrow(fit, "model binary").first()  # an empty sample may have no task at all
+    return found["model"] if found else pickle.dumps(train([], np.zeros(0, F32)))
 
 
-def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", rows: int = ROWS, most_bytes: int = BYTES) -> DataFrame:
     """docs with held_out, score and predicted, by a model fitted to their labelled rows."""
-    model = train(*sample(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), labels))
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(fitted(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), labels, rows, most_bytes))
     docs = docs.drop("held_out", "score", "predicted")
     schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())])
 
     def rate(batches):
+        model = pickle.loads(sent.value)
         for b in common.by_bytes(batches, text_col, 4 << 20):
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score_texts(sent.value, common.utf8(b.column(text_col))), pa.float64())], names=[*b.schema.names, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score_texts(model, common.utf8(b.column(text_col))), pa.float64())], names=[*b.schema.names, "score"])
 
     found = docs.mapInArrow(rate, schema)
     return found.withColumn("held_out", held_out(F.col(id_col))).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
