@@ -87,19 +87,25 @@ def open_fs(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def write_whole(uri: str, name: str, produce) -> int:
-    """Write one file so that it appears whole or not at all; a retried task replaces it.
+def write_whole(folder: str, stem: str, suffix: str, produce) -> tuple[str, int]:
+    """Write a file of a name that no other attempt uses; what a manifest lists is whole.
 
-    produce(out) writes to the open stream. Returns the file's size.
+    A retried or speculative task writes a file of its own, and only the attempt
+    that Spark counts tells its name, so nothing is renamed or replaced: that
+    holds on object stores too. A failed attempt deletes what it wrote.
+    produce(out) writes to the open stream. Returns the file's URI and size.
     """
-    fs, path = open_fs(uri)
+    name = f"{stem}-{uuid.uuid4().hex[:12]}{suffix}"
+    fs, path = open_fs(folder)
     fs.create_dir(path, recursive=True)
-    part = f"{path}/.{name}.{uuid.uuid4().hex}"
-    with fs.open_output_stream(part) as out:
-        produce(out)
-        size = out.tell()
-    fs.move(part, f"{path}/{name}")
-    return size
+    try:
+        with fs.open_output_stream(f"{path}/{name}", compression=None) as out:
+            produce(out)
+            size = out.tell()
+    except BaseException:
+        fs.delete_file(f"{path}/{name}")
+        raise
+    return f"{folder}/{name}", size
 
 
 def utf8(column) -> list[bytes | None]:

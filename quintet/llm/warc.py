@@ -104,9 +104,8 @@ def write(pages: DataFrame, folder: str, *, id_col: str = "page_id", url_col: st
         if (head := next(batches, None)) is None:
             return
         batches = itertools.chain([head], batches)
-        name = f"pages-{number:06d}.warc.gz"
-        size = common.write_whole(folder, name, produce)
-        yield pa.RecordBatch.from_pydict({"archive": [f"{folder}/{name}"], "bytes": [size]})
+        path, size = common.write_whole(folder, f"pages-{number:06d}", ".warc.gz", produce)
+        yield pa.RecordBatch.from_pydict({"archive": [path], "bytes": [size]})
 
     return common.cut(both.mapInArrow(archive, MANIFEST))
 

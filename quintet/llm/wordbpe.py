@@ -3,9 +3,12 @@
 The tokenizer drops white space and never merges across it, so a text's ids
 are the ids of its space-separated words in order. Each Python worker keeps
 the ids of words it has met, packed as little-endian integers, and asks the
-library only for new ones; `most` bounds the memory and a full store starts
-anew. Texts that hold "<|" go to the library whole, since lower-casing them
-first could make a special token. tests/llm compare with whole-text encoding.
+library only for new ones. Its memory is bounded by bytes: words of over `LONG`
+bytes are forgotten with their batch, and of the others two generations of half
+of `most_bytes` each are kept, the older one being dropped when the younger is
+full; words that are met again move to the younger. Texts that hold "<|" go to the library whole, since
+lower-casing them first could make a special token. tests/llm compare with
+whole-text encoding.
 """
 
 from __future__ import annotations
@@ -17,10 +20,10 @@ from quintet.llm import common
 
 
 
-def marked(word: bytes) -> bool:
-    """Whether it ends in one full stop or comma after a letter: that mark is then a run of its own."""
-    return len(word) > 1 and word[-1:] in (b".", b",") and word[:-1].decode()[-1].isalpha()
-
+#: Words of more bytes aren't remembered.
+LONG = 48
+#: Bytes that an entry of the store takes besides its word and ids: two objects and a place in a dict.
+ENTRY = 170
 
 #: Bytes that the byte-level alphabet shows as another character: those that don't print, from 256 on.
 HIDDEN = [c for c in range(256) if not (33 <= c <= 126 or 161 <= c <= 172 or c >= 174)]
@@ -32,15 +35,39 @@ def plain(word: str) -> bool:
     return word.isalpha() and max(word) < "\u0530" and word == word.lower() and unicodedata.is_normalized("NFC", word)
 
 
+def marked(word: bytes) -> bool:
+    """Whether it is a plain word and one full stop or comma, which is then a run of its own.
+
+    Only of a plain word is it known what the normaliser leaves before the mark:
+    others may end in something that is no letter once it is lower-cased.
+    """
+    return len(word) > 1 and word[-1:] in (b".", b",") and plain(word[:-1].decode())
+
+
+def lowered(text: bytes) -> list[bytes]:
+    """Its words with A-Z lower-cased, but for words with marks of U+0300 to U+037F.
+
+    The library composes before it lower-cases, and a small letter may compose
+    with a mark where the capital does not.
+    """
+    if b"\xcc" in text or b"\xcd" in text:
+        return [w if b"\xcc" in w or b"\xcd" in w else w.translate(common.LOWER) for w in text.split()]
+    return text.translate(common.LOWER).split()
+
+
 class WordBpe:
-    def __init__(self, path: str, most: int = 1_200_000):
+    """A tokenizer with a store of words."""
+
+    def __init__(self, path: str, most_bytes: int = 96 << 20):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.size = self.library.get_vocab_size()
         self.width = 2 if self.size <= 1 << 16 else 4
-        self.most = most
+        self.most_bytes = most_bytes
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.held = 0  # bytes of known
 
     def pack(self, ids) -> bytes:
         import numpy as np
@@ -50,8 +77,8 @@ class WordBpe:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [self.pack(e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: set[bytes]) -> None:
-        """Ask the library for words that aren't known."""
+    def learn(self, words: set[bytes]) -> list[bytes]:
+        """Ask the library for words that aren't known; returns what the store holds more."""
         known = self.known
         ends = {w for w in words if marked(w)}
         new = [w for w in words - ends | {w[:-1] for w in ends} | {b".", b","} if w not in known]
@@ -67,32 +94,44 @@ class WordBpe:
             known.update(zip(part, self.whole([w.decode() for w in part]), strict=True))
         for w in ends:
             known[w] = known[w[:-1]] + known[w[-1:]]
+        return [*new, *ends]
+
+    def bound(self, added: list[bytes]) -> None:
+        """Forget long words among those added, and the older generation if the younger is full."""
+        for w in added:
+            if len(w) > LONG:
+                del self.known[w]
+            else:
+                self.held += len(w) + ENTRY
+        if self.held > self.most_bytes // 2:
+            self.known, self.older, self.held = {}, self.known, 0
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Each text's ids, packed `width` bytes each; null is as empty."""
         out: list[bytes] = [b""] * len(texts)
         waiting: list[tuple[int, list[bytes]]] = []
         missing: set[bytes] = set()
+        known, older = self.known, self.older
         for i, text in enumerate(texts):
             if not text:
                 continue
             if b"<|" in text:
                 out[i] = self.whole([text.decode("utf-8", "replace")])[0]
                 continue
-            words = text.translate(common.LOWER).split()
+            words = lowered(text)
             try:
-                out[i] = b"".join(map(self.known.__getitem__, words))
+                out[i] = b"".join(map(known.__getitem__, words))
             except KeyError:
                 waiting.append((i, words))
-                known = self.known
                 missing.update([w for w in words if w not in known])
         if waiting:
-            if len(self.known) + len(missing) > self.most:
-                self.known = {}
-                missing = {w for _, words in waiting for w in words}
-            self.learn(missing)
+            again = [w for w in missing if w in older]
+            for w in again:
+                known[w] = older[w]
+            new = self.learn(missing.difference(again))
             for i, words in waiting:
-                out[i] = b"".join(map(self.known.__getitem__, words))
+                out[i] = b"".join(map(known.__getitem__, words))
+            self.bound(again + new)
         return out
 
 

@@ -3,7 +3,10 @@
 import base64
 import hashlib
 import math
+import pickle
+import random
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -453,6 +456,26 @@ def test_toxicity(spark, none):
     assert toxicity.score(frame, labels.filter("false")).agg(F.max("score")).first()[0] < 1e-9
 
 
+def test_rare_classes_are_learned_from():
+    # each class is dealt by itself, however few its rows are
+    for n in (1, 2, 3, 4, 9):
+        labels = np.array([0] * 30 + [1] * n, np.float32)
+        parts = toxicity.dealt(labels)
+        assert all(set(labels[p].tolist()) == {0, 1} for p in parts)
+        assert set(np.concatenate(parts).tolist()) == set(range(30 + n))
+
+
+def test_sample_is_bounded_by_rows_and_bytes(spark, monkeypatch):
+    rows = [(i, "clean words here " * (i % 7 + 1) if i % 2 else f"vileword{i % 3} hatred " * 4) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, (i + 1) % 2) for i in range(300)], "doc_id long, toxic int")
+    some = toxicity.sample(docs, labels, 20).collect()
+    assert len(some) == 40 and sum(r["toxic"] for r in some) == 20
+    # one long row first fills the bound; the model then knows one class only
+    model = pickle.loads(toxicity.fitted(docs, labels, 20, 1))
+    assert toxicity.score_texts(model, [b"vileword1 hatred"])[0] < 1e-9
+
+
 def test_gradients(monkeypatch):
     monkeypatch.setattr(toxicity, "F32", np.float64)
     words = toxicity.Words([b"the cat sat on the mat bad bad " * 3, b"a clean text here", b"one two three four five six seven " * 9])
@@ -548,13 +571,45 @@ def test_token_ids(spark, docs, odd, none):
     assert tokenids.stage(spark, none, "").count() == 0
 
 
+def fuzzed(seed, n):
+    """Texts over all classes of characters, capitals and marks."""
+    r = random.Random(seed)
+    by = {}
+    for c in (c for c in range(0x20, 0x2FFFF) if not 0xD800 <= c < 0xE000):
+        by.setdefault(unicodedata.category(chr(c)), []).append(chr(c))
+    classes, ends = list(by.values()), ["", ".", ",", "'s", "..", ".,"]
+    latin = lambda: chr(r.choice([r.randint(0x41, 0x5A), r.randint(0x61, 0x7A), r.randint(0xC0, 0x24F)]))
+    any_of = lambda: r.choice(r.choice(classes)) if r.random() < 0.6 else r.choice("aZé0.,'")
+    word = lambda: "".join((latin if r.random() < 0.6 else any_of)() for _ in range(r.randint(1, 7))) + r.choice(ends)
+    return [r.choice([" ", "\n", "\t", "  "]).join(word() for _ in range(r.randint(1, 6))) for _ in range(n)]
+
+
+def test_words_encode_as_the_library_does():
+    bpe = wordbpe.WordBpe(tokenids.vocabulary(), 1 << 20)  # a store so small that generations pass
+    found = [*fuzzed(3, 50_000), "ABDİ. İ, İstanbul. ǅ. ŉ, Y\u030Aj W\u030A. H\u0331,"]
+    for at in range(0, len(found), 2000):
+        part = found[at : at + 2000]
+        want = [bpe.pack(e.ids) for e in bpe.library.encode_batch_fast(part, add_special_tokens=False)]
+        assert bpe.encode([t.encode() for t in part]) == want
+
+
+def test_word_store_is_bounded():
+    bpe = wordbpe.WordBpe(tokenids.vocabulary(), 1 << 18)
+    for k in range(20):
+        words = [f"{'abcdefghij'[i % 10]}{'x' * (i % 60)}q{k}z{i}" for i in range(1000)]
+        text = " ".join(words)
+        assert bpe.encode([text.encode()]) == bpe.whole([text])
+        size = sum(len(w) + wordbpe.ENTRY for w in (*bpe.known, *bpe.older))
+        assert size <= (1 << 18) + 1000 * (wordbpe.ENTRY + 80) * 2 and max(map(len, (*bpe.known, *bpe.older)), default=0) <= wordbpe.LONG
+
+
 def test_words_encode_as_whole_texts():
     bpe = wordbpe.load(tokenids.vocabulary())
     cases = ["It's don't I'LL we'RE 'S ''s x''s a'sb", "café CAFÉ É́ ﬁ ſ K Å ΑΣ ΟΔΟΣ. σς ß ẞ İ i̇ ǅ", "<|endoftext|> <|ENDOFTEXT|>a <|startoftext|>x. <| |>", "a\x0bb\x0cc\x1cd\x85e f​g﻿i", "日本語。漢字, x。 1234 ½ Ⅷ a1.b2, ...x, .,.,", "a. b, .. ,, . , a.. é. é, 1. _. …. ½. ²."]
     for case in cases:
         for text in (case, case.lower(), case.upper()):
             assert bpe.encode([text.encode()]) == bpe.whole([text])
-    small = wordbpe.WordBpe(tokenids.vocabulary(), most=50)  # a store that is emptied again and again
+    small = wordbpe.WordBpe(tokenids.vocabulary(), most_bytes=20_000)  # a store that is emptied again and again
     texts = [r[1].encode() for r in ROWS if r[1]]
     assert [small.encode([t])[0] for t in texts] == small.whole([t.decode() for t in texts])
 
