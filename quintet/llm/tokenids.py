@@ -3,7 +3,7 @@
 Documents are range-partitioned by identifier and sorted, encoded in that
 order and written as one shard a partition (quintet.llm.sstable), whole or not
 at all, in a folder that driver and executors share. The number of shards
-follows the bytes of text. A manifest of one row a
+follows that of the scan's splits, and so the bytes of text. A manifest of one row a
 shard gives each shard's place in the whole sequence; the shards are then read
 back independently. Texts move once; nothing grows on the driver but the
 manifest, a row a shard.
@@ -27,8 +27,6 @@ from pyspark.sql import functions as F
 from quintet.llm import common, sstable, wordbpe
 
 END_ID = 1
-#: Text that a shard is made for; ids take about a third of it.
-SHARD_BYTES = 256 << 20
 MANIFEST = "shard long, path string, docs long, ids long, bytes long"
 
 
@@ -41,12 +39,11 @@ def vocabulary() -> str:
 def write(docs: DataFrame, folder: str, *, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, shards: int | None = None) -> DataFrame:
     """Write shards below folder; returns the manifest, computed once."""
     spark = docs.sparkSession
-    if shards is None:
-        size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-        shards = max(common.partitions(spark), -(-size // SHARD_BYTES))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    if shards is None:  # the scan's splits follow the bytes
+        shards = max(common.partitions(spark), rows.rdd.getNumPartitions())
     dealt = (
-        docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-        .repartitionByRange(shards, F.col("id").asc_nulls_first())
+        rows.repartitionByRange(shards, F.col("id").asc_nulls_first())
         .sortWithinPartitions(F.col("id").asc_nulls_first(), F.col("text").asc_nulls_first())
     )
 

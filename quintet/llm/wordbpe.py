@@ -4,44 +4,34 @@ The tokenizer drops white space and never merges across it, so a text's ids
 are the ids of its space-separated words in order. Each Python worker keeps
 the ids of words it has met, packed as little-endian integers, and asks the
 library only for new ones. Its memory is bounded by bytes: words of over `LONG`
-bytes are forgotten with their batch, and of the others two generations of half
-of `most_bytes` each are kept, the older one being dropped when the younger is
-full; words that are met again move to the younger. Texts that hold "<|" go to the library whole, since
-lower-casing them first could make a special token. tests/llm compare with
-whole-text encoding.
+bytes aren't kept, and of the others two generations of half of `most_bytes`
+each are kept, the older one being dropped when the younger is full; words that
+are met again move to the younger. Texts that hold "<|" go to the library whole,
+since lower-casing them first could make a special token. tests/llm compare
+with whole-text encoding.
 """
 
 from __future__ import annotations
 
-import struct
-import unicodedata
-
-from quintet.llm import common
+import sys
+from array import array
 
+import regex
 
+from quintet.llm import common
 
 #: Words of more bytes aren't remembered.
 LONG = 48
-#: Bytes that an entry of the store takes besides its word and ids: two objects and a place in a dict.
+#: Bytes that an entry of the store takes besides its word: two objects and a place in a dict.
 ENTRY = 170
-
 #: Bytes that the byte-level alphabet shows as another character: those that don't print, from 256 on.
 HIDDEN = [c for c in range(256) if not (33 <= c <= 126 or 161 <= c <= 172 or c >= 174)]
 SHOWN = {c: 256 + i for i, c in enumerate(HIDDEN)}
-
-
-def plain(word: str) -> bool:
-    """Lower-case European letters only, composed: normalising and splitting leave it whole."""
-    return word.isalpha() and max(word) < "\u0530" and word == word.lower() and unicodedata.is_normalized("NFC", word)
-
-
-def marked(word: bytes) -> bool:
-    """Whether it is a plain word and one full stop or comma, which is then a run of its own.
-
-    Only of a plain word is it known what the normaliser leaves before the mark:
-    others may end in something that is no letter once it is lower-cased.
-    """
-    return len(word) > 1 and word[-1:] in (b".", b",") and plain(word[:-1].decode())
+#: Fixed by the tokenizer file: the pieces that its splitter leaves of a lower-cased word.
+PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: Words of these characters alone are split here: printing ones below U+0250, which are composed, no white space
+#: and lower-cased one by one, but for the capital I with a dot, of which a mark is left.
+PLAIN = regex.compile("[!-~\u00a1-\u00ac\u00ae-\u012f\u0131-\u024f]+")
 
 
 def lowered(text: bytes) -> list[bytes]:
@@ -55,6 +45,22 @@ def lowered(text: bytes) -> list[bytes]:
     return text.translate(common.LOWER).split()
 
 
+class Store(dict):
+    """Packed ids by word; a word that it lacks is looked up as it is asked for."""
+
+    def __init__(self, bpe: WordBpe, older: dict[bytes, bytes]):
+        self.bpe, self.older, self.held = bpe, older, 0
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.older.get(word)
+        if ids is None:
+            ids = self.bpe.ids_of(word)
+        if len(word) <= LONG:
+            self[word] = ids
+            self.held += len(word) + ENTRY
+        return ids
+
+
 class WordBpe:
     """A tokenizer with a store of words."""
 
@@ -62,12 +68,11 @@ class WordBpe:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        self.merge = self.library.model.tokenize
         self.size = self.library.get_vocab_size()
-        self.width = 2 if self.size <= 1 << 16 else 4
+        self.width, self.kind = (2, "H") if self.size <= 1 << 16 else (4, "I")
         self.most_bytes = most_bytes
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-        self.held = 0  # bytes of known
+        self.known = Store(self, {})
 
     def pack(self, ids) -> bytes:
         import numpy as np
@@ -77,61 +82,38 @@ class WordBpe:
     def whole(self, texts: list[str]) -> list[bytes]:
         return [self.pack(e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: set[bytes]) -> list[bytes]:
-        """Ask the library for words that aren't known; returns what the store holds more."""
-        known = self.known
-        ends = {w for w in words if marked(w)}
-        new = [w for w in words - ends | {w[:-1] for w in ends} | {b".", b","} if w not in known]
-        rest, merge = [], self.library.model.tokenize
-        for w in new:
-            if plain(word := w.decode()):  # straight to the library's merges
-                ids = [t.id for t in merge(word if word.isascii() else w.decode("latin-1").translate(SHOWN))]
-                known[w] = struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
-            else:
-                rest.append(w)
-        for at in range(0, len(rest), 20_000):
-            part = rest[at : at + 20_000]
-            known.update(zip(part, self.whole([w.decode() for w in part]), strict=True))
-        for w in ends:
-            known[w] = known[w[:-1]] + known[w[-1:]]
-        return [*new, *ends]
-
-    def bound(self, added: list[bytes]) -> None:
-        """Forget long words among those added, and the older generation if the younger is full."""
-        for w in added:
-            if len(w) > LONG:
-                del self.known[w]
-            else:
-                self.held += len(w) + ENTRY
-        if self.held > self.most_bytes // 2:
-            self.known, self.older, self.held = {}, self.known, 0
+    def merged(self, piece: str) -> bytes:
+        ids = array(self.kind, [t.id for t in self.merge(piece)])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
+
+    def ids_of(self, word: bytes) -> bytes:
+        """The library's ids of one word: plain words go piece by piece straight to its merges."""
+        if word.isalpha():  # ASCII letters, lower-cased
+            return self.merged(word.decode())
+        if word[:-1].isalpha() and word[-1:] in (b".", b","):
+            return self.known[word[:-1]] + self.known[word[-1:]]
+        text = word.decode("utf-8", "replace")
+        if not PLAIN.fullmatch(text):
+            return self.whole([text])[0]
+        pieces = PIECES.findall(text.lower())
+        if len(pieces) == 1:
+            return self.merged(pieces[0].encode().decode("latin-1").translate(SHOWN))
+        return b"".join([self.known[x.encode()] for x in pieces])
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Each text's ids, packed `width` bytes each; null is as empty."""
-        out: list[bytes] = [b""] * len(texts)
-        waiting: list[tuple[int, list[bytes]]] = []
-        missing: set[bytes] = set()
-        known, older = self.known, self.older
-        for i, text in enumerate(texts):
+        out, ids = [], self.known.__getitem__
+        for text in texts:
             if not text:
-                continue
-            if b"<|" in text:
-                out[i] = self.whole([text.decode("utf-8", "replace")])[0]
-                continue
-            words = lowered(text)
-            try:
-                out[i] = b"".join(map(known.__getitem__, words))
-            except KeyError:
-                waiting.append((i, words))
-                missing.update([w for w in words if w not in known])
-        if waiting:
-            again = [w for w in missing if w in older]
-            for w in again:
-                known[w] = older[w]
-            new = self.learn(missing.difference(again))
-            for i, words in waiting:
-                out[i] = b"".join(map(known.__getitem__, words))
-            self.bound(again + new)
+                out.append(b"")
+            elif b"<|" in text:
+                out.append(self.whole([text.decode("utf-8", "replace")])[0])
+            else:
+                out.append(b"".join(map(ids, lowered(text))))
+        if self.known.held > self.most_bytes // 2:
+            self.known = Store(self, dict(self.known))
         return out
 
 

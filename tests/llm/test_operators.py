@@ -311,7 +311,7 @@ def test_components(spark):
         for a, b in links * n:
             low = min(parent[a], parent[b])
             parent[a] = parent[b] = low
-        got = dict(tuple(x) for x in components.components(spark.createDataFrame(links, "u long, v long")).collect())
+        got = dict(tuple(x) for x in components.components(spark.createDataFrame(links, "u long, v long"), common.Scratch(spark)).collect())
         assert all(got[i] == parent[i] for i in got)
         assert set(got) == {x for a, b in links if a != b for x in (a, b)}
 
@@ -599,8 +599,8 @@ def test_word_store_is_bounded():
         words = [f"{'abcdefghij'[i % 10]}{'x' * (i % 60)}q{k}z{i}" for i in range(1000)]
         text = " ".join(words)
         assert bpe.encode([text.encode()]) == bpe.whole([text])
-        size = sum(len(w) + wordbpe.ENTRY for w in (*bpe.known, *bpe.older))
-        assert size <= (1 << 18) + 1000 * (wordbpe.ENTRY + 80) * 2 and max(map(len, (*bpe.known, *bpe.older)), default=0) <= wordbpe.LONG
+        size = sum(len(w) + wordbpe.ENTRY for w in (*bpe.known, *bpe.known.older))
+        assert size <= (1 << 18) + 1000 * (wordbpe.ENTRY + 80) * 2 and max(map(len, (*bpe.known, *bpe.known.older)), default=0) <= wordbpe.LONG
 
 
 def test_words_encode_as_whole_texts():
