@@ -52,16 +52,50 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete shuffle files and checkpoints that nothing refers to any more.
+#: Spark's setting that deletes a query's shuffle files when the query ends.
+CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-    It does so when the driver's garbage is collected, which between the rounds
-    of an iteration may be long after their files have filled the disks.
+
+class Scratch:
+    """Tables of an iteration, written below the shared folder and deleted when they are done with.
+
+    Calling it writes a DataFrame and returns what is read back, which cuts the
+    lineage and survives lost executors. A query's shuffle files go when its
+    table is written; drop() deletes tables, close() all that are left.
     """
-    import gc
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.n = spark, fresh_dir(spark, "tables"), 0
+        self.paths: list[tuple[DataFrame, str]] = []
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        conf, path = self.spark.conf, f"{self.folder}/{self.n}"
+        self.n += 1
+        before = conf.get(CLEAN, None)
+        conf.set(CLEAN, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            conf.unset(CLEAN) if before is None else conf.set(CLEAN, before)
+        found = self.spark.read.schema(df.schema).parquet(path)
+        self.paths.append((found, path))
+        return found
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        """Delete tables that no DataFrame in use reads; others than its own are left alone."""
+        for table in tables:
+            for own, path in self.paths:
+                if own is table:
+                    self.delete(path)
+            self.paths = [x for x in self.paths if x[0] is not table]
+
+    def close(self, *but: DataFrame) -> None:
+        """Delete all tables but these."""
+        self.drop(*[t for t, _ in self.paths if not any(t is b for b in but)])
+
+    def delete(self, uri: str) -> None:
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def masked(docs: DataFrame):

@@ -17,24 +17,29 @@ def smallest(edges: DataFrame) -> DataFrame:
     return edges.join(edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "u")
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, keep: common.Scratch, rounds: int = 60) -> DataFrame:
     """(node, component) for each node of links (u, v); component is the smallest node reachable.
 
     A round's work is proportional to the links; a hub's links are joined to one
-    number, which an adaptive skew join splits. Each round is checkpointed.
+    number, which an adaptive skew join splits. Each round is written to `keep`.
     """
-    edges = common.cut(links.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
-    for _ in range(rounds):
+    edges = keep(links.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    before = state(edges)
+    for _ in range(rounds if before[0] else 0):
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = smallest(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = keep(smallest(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         small = smallest(large)
-        edges = common.cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).filter("u != v").distinct())
-        if (now := state(edges)) == before or not now[0]:
+        more = keep(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).filter("u != v").distinct())
+        keep.drop(edges, large)
+        edges = more
+        if (now := state(edges)) == before:
             break
         before = now
     else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
+        if before[0]:
+            raise RuntimeError(f"components did not settle in {rounds} rounds")
+    found = keep(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    )
+    ))
+    keep.drop(edges)
+    return found

@@ -28,6 +28,9 @@ rarest shingles, so that no link is lost.
 Comparing streams the members past their hub: rows are dealt by hub and a salt
 that splits hubs of many partners, sorted so that the hub's set comes first.
 
+Every step is a table in the shared folder, read by the next and deleted with
+its shuffle files when no later step needs it, so the disk holds one round.
+
 Defined results: null or empty texts (no words) have no shingles and link with
 nothing; rows that repeat an id each get their own text's component; a null id
 is never the smallest unless its whole component has none, and is then its own
@@ -184,18 +187,21 @@ def labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return members.join(labels.toDF("cid", "component"), "cid", "left").withColumn("label", F.coalesce("component", "cid")).drop("component")
 
 
-def merged(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+def merged(labels: DataFrame | None, links: DataFrame, keep: common.Scratch) -> DataFrame:
     """labels (node, component) after further links (a, b)."""
     if labels is None:
-        return common.cut(components(links.toDF("u", "v")))
+        return components(links.toDF("u", "v"), keep)
     between = (
         links.join(labels.toDF("a", "ca"), "a", "left").join(labels.toDF("b", "cb"), "b", "left")
         .select(F.coalesce("ca", "a").alias("u"), F.coalesce("cb", "b").alias("v"))
     )
-    more = components(between).toDF("component", "better")
+    better = components(between, keep)
+    more = better.toDF("component", "better")
     old = labels.join(more, "component", "left").select("node", F.coalesce("better", "component").alias("component"))
     new = more.join(labels.select(F.col("node").alias("component")), "component", "left_anti").toDF("node", "component")
-    return common.cut(old.union(new))
+    found = keep(old.union(new))
+    keep.drop(better, labels)
+    return found
 
 
 def stars(rare: DataFrame) -> DataFrame:
@@ -232,37 +238,40 @@ def near_duplicates(
     percent * union; kept: the id is that. cid: the class of equal sets;
     text_hash: xxhash64 of the text, which tells rows of one id apart.
     """
-    rows = common.cut(signed(docs, id_col, text_col, width, coords))
-    classes = common.cut(rows.filter("cid is not null").groupBy("cid").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")))
+    keep = common.Scratch(docs.sparkSession)
+    wide = keep(signed(docs, id_col, text_col, width, coords))
+    rows = keep(wide.select("id", "t", "n", "cid"))
+    classes = keep(wide.filter("cid is not null").groupBy("cid").agg(F.min("id").alias("rep"), F.first("sig").alias("sig")))
+    keep.drop(wide)
     posts = classes.select("cid", F.posexplode("sig")).select("cid", F.xxhash64("pos", "col").alias("key"))
     keys = posts.groupBy("key").count().filter("count > 1").select("key")
-    shared = posts.join(keys, "key").groupBy("cid").agg(F.collect_list("key").alias("ks")).filter(F.size("ks") >= least)
-    shared = common.cut(shared)
+    shared = keep(posts.join(keys, "key").groupBy("cid").agg(F.collect_list("key").alias("ks")).filter(F.size("ks") >= least))
     wanted = classes.join(shared.select("cid"), "cid", "left_semi").select(F.col("rep").alias("id"), "cid", "sig")
     texts = within(docs.select(id_col, text_col), id_col, wanted.select("id"))
-    facts = common.cut(full_sets(texts, wanted.select("id", "cid"), id_col, text_col, width).dropDuplicates(["cid"]).join(wanted.select("cid", "sig"), "cid"))
-
-    common.release(docs.sparkSession)
+    facts = keep(full_sets(texts, wanted.select("id", "cid"), id_col, text_col, width).dropDuplicates(["cid"]).join(wanted.select("cid", "sig"), "cid"))
 
     labels = tried = None
     members = shared.select("cid", F.lit(least).alias("need"), F.lit(coords).alias("total"), F.explode("ks").alias("key"))
     for turn in range(2 * star_rounds + 1):
+        left = None
         if turn == star_rounds:  # by coordinates no longer, but by shingles
-            left = common.cut(prefixes(labelled(members, labels)).select("cid").distinct())
+            left = keep(prefixes(labelled(members, labels)).select("cid").distinct())
+            keep.drop(shared)
             members = by_shingle(facts, left, percent)
-        rare = common.cut(prefixes(labelled(members, labels)))
+        rare = keep(prefixes(labelled(members, labels)))
         if turn >= star_rounds:  # components only grow, so who isn't looked up now never will be
             members = by_shingle(facts, rare.select("cid").distinct(), percent)
         pairs = stars(rare) if turn < 2 * star_rounds else crossings(rare, percent)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        seen = common.cut(verified(common.cut(pairs), facts, least, percent))
+        pairs = keep(pairs)
+        seen = keep(verified(pairs, facts, least, percent))
         failed = seen.filter("not linked").select("a", "b")
         tried = failed if tried is None else tried.union(failed)
         links = seen.filter("linked").select("a", "b")
         if not links.isEmpty():
-            labels = merged(labels, links)
-        common.release(docs.sparkSession)
+            labels = merged(labels, links, keep)
+        keep.drop(pairs, left, rare if turn < star_rounds else None)
 
     named = classes.select("cid", "rep")
     if labels is None:
@@ -271,6 +280,8 @@ def near_duplicates(
         named = named.join(labels.toDF("cid", "component"), "cid", "left").select("cid", "rep", F.coalesce("component", "cid").alias("component"))
         least_id = named.groupBy("component").agg(F.min("rep").alias("component_id"))
         named = named.join(least_id, "component").select("cid", "component_id")
+    named = keep(named)
+    keep.close(rows, named)
     found = rows.select("id", "t", "n", "cid").join(named, "cid", "left")
     ident = F.when(F.col("cid").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return found.select(
