@@ -7,15 +7,18 @@ it; that is decided on digests, before any payload is moved. A revisit's header
 tells the size and digest of the full payload.
 
 Reading is splittable: a task gets ranges of bytes. From a range's start it
-looks for the gzip magic; a place counts as a record if what follows inflates
-to a WARC header. A range owns the records that start inside it and reads past
-its end to finish the last one. Behind a record the next starts at once, so
-the search runs only where a range begins inside one. A record is inflated a
-chunk at a time; its payload is hashed and counted as it comes.
+looks for the gzip magic; a place counts as a member if what follows inflates
+to a WARC header. A range owns the members that start inside it and reads past
+its end to finish the last one. Behind a member the next starts at once, so
+the search runs only where a range begins inside one. A member is inflated a
+chunk at a time; payloads are hashed and counted as they come. Archives of
+other writers may hold any type of record, blocks that are no HTTP messages and
+many records a member; a member that is damaged or cut short is an error.
 
 Defined results: a null html is an empty payload; a null page_id is smaller
 than all others; rows that share page_id and payload are all responses if that
-id is the largest; an empty table gives no archive and no rows.
+id is the largest; an empty table gives no archive and no rows; of pages only
+the three columns named are read, whatever others there are.
 """
 
 from __future__ import annotations
@@ -37,7 +40,7 @@ MAGIC = b"\x1f\x8b\x08"
 CHUNK = 256 << 10
 DATE = "2020-01-01T00:00:00Z"
 MANIFEST = "archive string, bytes long"
-READ = "archive string, offset long, page_id long, record_type string, refers_to long, url string, payload_bytes long, payload_digest string"
+READ = "archive string, offset long, page_id long, record_type string, refers_to long, url string, payload_bytes long, payload_digest string, record_id string, refers_to_id string"
 
 
 def base32_sha1(payload: bytes) -> str:
@@ -126,58 +129,112 @@ class Records:
         return self.have[place - self.at : place - self.at + n]
 
     def __iter__(self):
-        place = self.start
+        """(place of the member, header, payload size, payload digest) of each record."""
+        place, known = self.start, self.start == 0  # known: a member has to start here
         while place < self.end:
             if self.bytes_at(place, len(MAGIC)) != MAGIC:
+                if known:
+                    self.padding(place)
+                    return
                 chunk = self.bytes_at(place, min(CHUNK, self.end - place + len(MAGIC) - 1))
                 found = chunk.find(MAGIC)
                 place += found if found >= 0 else max(1, len(chunk) - len(MAGIC) + 1)
                 continue
-            if (record := self.decode(place)) is None:
+            parser, inflated = Parser(), self.inflated(place)
+            try:
+                for piece, after in inflated:
+                    for record in parser.feed(piece):
+                        yield place, *record
+                yield from ((place, *record) for record in parser.finish())
+            except (zlib.error, ValueError, EOFError) as e:
+                if known or parser.begun:
+                    raise ValueError(f"the member at byte {place} is damaged: {e}") from e
                 place += 1
                 continue
-            head, n, digest, after = record
-            yield place, head, n, digest
-            place = after
-
-    def decode(self, place: int):
-        """(header, payload size, payload digest, end of the member), or None if no record starts here."""
-        z, raw, at = zlib.decompressobj(31), bytearray(), place
-        looked = 0  # bytes of raw without the header's end
-        head = None
-        sha, n, left = hashlib.sha1(), 0, 0
-        in_payload = False
-        try:
-            while not z.eof:
-                piece = self.bytes_at(at, CHUNK // 4)
-                if not piece:
+            place, known = after, True
+
+    def padding(self, place: int) -> None:
+        """Behind the last member there may be zeros only."""
+        while chunk := self.bytes_at(place, CHUNK):
+            if chunk.strip(b"\0"):
+                raise ValueError(f"no member starts at byte {place}")
+            place += len(chunk)
+
+    def inflated(self, place: int):
+        """(piece, end of the member so far) of the member at a place, bounded pieces at a time."""
+        z, at = zlib.decompressobj(31), place
+        while not z.eof:
+            piece = self.bytes_at(at, CHUNK // 4)
+            if not piece:
+                raise EOFError("the archive ends inside it")
+            at += len(piece)
+            out = z.decompress(piece, CHUNK)
+            while True:
+                yield out, at - len(z.unused_data)
+                if z.eof or not z.unconsumed_tail:  # at the end, the tail is the next member
+                    break
+                out = z.decompress(z.unconsumed_tail, CHUNK)
+
+
+class Parser:
+    """Records of one member, from its inflated bytes; headers and blocks may be of any length, and only headers are held.
+
+    The payload of an HTTP message is what follows its headers, that of any other record its block.
+    """
+
+    def __init__(self):
+        self.raw, self.looked = bytearray(), 0
+        self.head: dict[str, str] | None = None
+        self.begun = False  # whether a record's header has been read
+
+    def feed(self, piece: bytes):
+        self.raw += piece
+        while self.raw:
+            if self.head is None:
+                if not self.looked and self.raw[:1] in (b"\r", b"\n"):  # what closes the record before
+                    if not (rest := self.raw.lstrip(b"\r\n")):
+                        return self.raw.clear()
+                    self.raw = rest
+                # the prefix rejects false magic; a true header may be of any length
+                if not self.raw.startswith(b"WARC/"[: len(self.raw)]):
+                    raise ValueError("no record starts there")
+                cut, self.looked = self.raw.find(b"\r\n\r\n", self.looked), max(0, len(self.raw) - 3)
+                if cut < 0:
                     return None
-                at += len(piece)
-                raw += z.decompress(piece, CHUNK)
-                while True:
-                    if head is None:
-                        # the prefix rejects false magic; a true header may be of any length
-                        if not raw.startswith(b"WARC/"[: len(raw)]):
-                            return None
-                        cut, looked = raw.find(b"\r\n\r\n", looked), max(0, len(raw) - 3)
-                        if cut >= 0:
-                            head = dict((k.strip().lower(), v.strip()) for k, _, v in (x.partition(":") for x in raw[:cut].decode("utf-8", "replace").split("\r\n")[1:]))
-                            raw, left = raw[cut + 4 :], int(head["content-length"])
-                    if head is not None and not in_payload and (cut := raw.find(b"\r\n\r\n", 0, left)) >= 0:
-                        raw, left, in_payload = raw[cut + 4 :], left - cut - 4, True
-                    if in_payload:
-                        sha.update(raw[:left])
-                        n += min(left, len(raw))
-                        left -= min(left, len(raw))
-                        raw = bytearray()
-                    if z.eof or not z.unconsumed_tail:  # at the end, the tail is the next member
-                        break
-                    raw += z.decompress(z.unconsumed_tail, CHUNK)
-        except (zlib.error, KeyError, ValueError):
-            return None
-        if head is None or not in_payload or left:
-            return None
-        return head, n, base64.b32encode(sha.digest()).decode(), at - len(z.unused_data)
+                lines = self.raw[:cut].decode("utf-8", "replace").split("\r\n")
+                self.head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+                self.raw, self.looked, self.begun = self.raw[cut + 4 :], 0, True
+                self.left, self.n, self.sha = int(self.head.get("content-length", "-1")), 0, hashlib.sha1()
+                if self.left < 0:
+                    raise ValueError("a record has no length")
+                self.http = self.head.get("content-type", "").lower().startswith("application/http")
+            if self.http:  # up to the blank line that ends its headers
+                cut = self.raw.find(b"\r\n\r\n", 0, self.left)
+                gone = cut + 4 if cut >= 0 else max(0, len(self.raw) - 3) if len(self.raw) < self.left else self.left
+                self.raw, self.left, self.http = self.raw[gone:], self.left - gone, cut < 0 and self.left > gone
+                if self.http:
+                    return None
+            part = self.raw[: self.left]
+            self.sha.update(part)
+            self.n += len(part)
+            self.left -= len(part)
+            self.raw = self.raw[len(part) :]
+            if self.left:
+                return None
+            yield from self.closed()
+        if self.head is not None and not self.left:
+            yield from self.closed()
+        return None
+
+    def closed(self):
+        head, self.head = self.head, None
+        yield head, self.n, base64.b32encode(self.sha.digest()).decode()
+
+    def finish(self):
+        """At the member's end nothing may be open."""
+        if self.head is not None and self.left or self.raw or not self.begun:
+            raise ValueError("its last record is cut short")
+        return []
 
 
 def read(archives: DataFrame, *, split_bytes: int = 4 << 20) -> DataFrame:
@@ -190,6 +247,10 @@ def read(archives: DataFrame, *, split_bytes: int = 4 << 20) -> DataFrame:
     ranges = archives.select("archive", "bytes", F.explode(F.expr(f"sequence(0L, greatest(bytes - 1, 0L), {split_bytes}L)")).alias("start"))
     ranges = ranges.repartition(common.partitions(spark), "archive", "start")
 
+    def found(rows):
+        kinds = [pa.string() if x.endswith("string") else pa.int64() for x in READ.split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[x.split()[0] for x in READ.split(", ")])
+
     def scan(batches):
         for b in batches:
             for path, size, start in zip(*(b.column(c).to_pylist() for c in ("archive", "bytes", "start")), strict=True):
@@ -197,12 +258,17 @@ def read(archives: DataFrame, *, split_bytes: int = 4 << 20) -> DataFrame:
                 out = []
                 with fs.open_input_file(name) as f:
                     for place, head, n, digest in Records(f, start, min(size, start + split_bytes), size):
-                        revisit = head["warc-type"] == "revisit"
+                        kind, told = head.get("warc-type"), head.get("x-payload-bytes")
+                        if kind == "revisit":
+                            n = int(told) if told else None
+                            digest = head["warc-payload-digest"].removeprefix("sha1:") if "warc-payload-digest" in head else None
                         own, ref = head.get("x-page-id"), head.get("x-refers-to-page-id")
-                        out.append((path, place, int(own) if own else None, head["warc-type"], int(ref) if ref else None, head.get("warc-target-uri"), n if not revisit else int(told) if (told := head.get("x-payload-bytes")) else None, head["warc-payload-digest"].removeprefix("sha1:") if revisit else digest))
+                        out.append((path, place, int(own) if own else None, kind, int(ref) if ref else None, head.get("warc-target-uri"), n, digest, head.get("warc-record-id"), head.get("warc-refers-to")))
+                        if len(out) == 10_000:
+                            yield found(out)
+                            out = []
                 if out:
-                    kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["archive", "offset", "page_id", "record_type", "refers_to", "url", "payload_bytes", "payload_digest"])
+                    yield found(out)
 
     return ranges.mapInArrow(scan, READ)
 

@@ -350,6 +350,41 @@ def test_warc(spark, tmp_path):
     assert warc.read(warc.write(none, f"file://{tmp_path}/none")).count() == 0
 
 
+def record(kind, block, content=None, **more):
+    head = {"WARC-Type": kind, "WARC-Record-ID": f"<urn:{kind}>", "Content-Length": len(block)} | ({"Content-Type": content} if content else {}) | more
+    return b"WARC/1.0\r\n" + b"".join(f"{k.replace('_', '-')}: {v}\r\n".encode() for k, v in head.items()) + b"\r\n" + block + b"\r\n\r\n"
+
+
+def test_warc_of_other_writers(spark, tmp_path):
+    import gzip
+
+    http = "application/http; msgtype=response"
+    blocks = [
+        ("warcinfo", b"software: x\r\nformat: WARC File Format 1.0\r\n\r\nmore", "application/warc-fields"),
+        ("request", b"GET / HTTP/1.1\r\nHost: a\r\n\r\n", "application/http; msgtype=request"),
+        ("response", b"HTTP/1.1 200 OK\r\n\r\n<p>\r\n\r\n</p>" + bytes(700_000), http),
+        ("response", b"HTTP/1.1 204 No Content\r\nno blank line", http),
+        ("metadata", b"", None),
+        ("conversion", b"first paragraph\r\n\r\nsecond", "text/plain"),
+        ("revisit", b"HTTP/1.1 200 OK\r\n\r\n", http),
+        ("conversion", b"last", "text/plain"),
+    ]
+    payload = lambda block, kind: block.partition(b"\r\n\r\n")[2] if (kind or "").startswith("application/http") else block
+    want = [(k, None, None) if k == "revisit" else (k, len(payload(b, c)), base64.b32encode(hashlib.sha1(payload(b, c)).digest()).decode()) for k, b, c in blocks]
+    raws = [record(*x) for x in blocks]
+    files = {"each": b"".join(map(gzip.compress, raws)), "one": gzip.compress(b"".join(raws)), "two": gzip.compress(b"".join(raws[:3])) + gzip.compress(b"".join(raws[3:])) + bytes(100)}
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+        listed = spark.createDataFrame([(f"file://{tmp_path}/{name}", len(data))], warc.MANIFEST)
+        for split in (97, 4 << 20):
+            got = warc.read(listed, split_bytes=split).orderBy("offset").collect()
+            assert sorted(map(str, want)) == sorted(str((r["record_type"], r["payload_bytes"], r["payload_digest"])) for r in got), (name, split)
+    for name, data in {"cut": files["each"][:-9], "flipped": files["one"][:300] + b"\xff\x00\xff" + files["one"][303:], "junk": files["each"] + b"junk"}.items():
+        (tmp_path / name).write_bytes(data)
+        with pytest.raises(Exception, match="damaged|no member"):
+            warc.read(spark.createDataFrame([(f"file://{tmp_path}/{name}", len(data))], warc.MANIFEST)).collect()
+
+
 def test_warc_long_urls(spark, tmp_path):
     long = "http://example.org/" + "é\x01 a" * 500_000
     rows = [(1, "http://example.org/", "<p>one</p>"), (2, long, "<p>two</p>"), (3, long + "b", "<p>two</p>"), (4, None, None)]
