@@ -12,12 +12,14 @@ A token that crosses boundaries goes by an explicit rule:
 Sections of `documents` are its lines, each with the line break that ends it.
 
 Defined results: a null or empty text has no tokens and one empty section;
-every row is counted on its own; extra columns are kept.
+every row is counted on its own; extra columns are kept, save those named like
+a result, which the result replaces.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,8 @@ from pyspark.sql import types as T
 
 from quintet.llm import common
 
+#: White space as the tokenizer's pattern has it, two or more; and how long a run is merged by itself.
+SPACES, RUN = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{2,}"), 100_000
 RULES = ("start", "majority", "split")
 RESULT = T.StructType([
     T.StructField("n_tokens", T.LongType()),
@@ -54,9 +58,27 @@ class ByteBpe:
         for token, i in ranks.items():
             self.lengths[i] = len(token)
 
+    def ids(self, text: str) -> list[int]:
+        """The whole text's tokens.
+
+        The library's splitter overflows on runs of about a million white-space
+        characters. In its pattern such a run, but for its last character if
+        something follows, is one piece, and what stands before and behind is
+        split as if alone; so long runs are merged as pieces of their own.
+        """
+        if len(text) < RUN:
+            return self.encode.encode_ordinary(text)
+        out, at = [], 0
+        for m in SPACES.finditer(text):
+            end = m.end() - (m.end() < len(text))
+            if end - m.start() >= RUN:
+                out += self.encode.encode_ordinary(text[at : m.start()]) + self.encode._encode_single_piece(text[m.start() : end])
+                at = end
+        return out + self.encode.encode_ordinary(text[at:])
+
     def spans(self, text: str) -> np.ndarray:
         """Ends of the tokens, in bytes."""
-        return np.cumsum(self.lengths[np.asarray(self.encode.encode_ordinary(text), np.int64)])
+        return np.cumsum(self.lengths[np.asarray(self.ids(text), np.int64)])
 
 
 _loaded: dict[str, ByteBpe] = {}

@@ -652,6 +652,20 @@ def test_words_encode_as_whole_texts():
 # 10
 
 
+def test_long_runs_encode_as_pieces(monkeypatch):
+    bpe = tokencounts.load(tokencounts.vocabulary())
+    # the library itself takes shorter runs, so the cut is held against it with a low limit
+    r = random.Random(4)
+    texts = ["".join(r.choice(["a", "b1", ".", "é", "'s", " " * r.randint(1, 30), "\n" * r.randint(1, 30), "\u3000\x85", " \n "]) for _ in range(40)) for _ in range(400)]
+    texts += [" " * 50, "\n" * 50 + "x", "x" + " " * 50, " " * 50 + "\n"]
+    monkeypatch.setattr(tokencounts, "RUN", 5)
+    for text in texts:
+        assert bpe.ids(text) == bpe.encode.encode_ordinary(text)
+    monkeypatch.undo()
+    for text in (" " * 2_000_000, "a" + "\n" * 2_000_000 + "b", "a" * 2_000_000, "." * 2_000_000, "\u3000" * 1_200_000 + "x"):
+        assert bpe.spans(text)[-1] == len(text.encode())
+
+
 @pytest.mark.parametrize("rule", tokencounts.RULES)
 def test_token_counts(docs, odd, none, rule):
     bpe = tokencounts.load(tokencounts.vocabulary())
