@@ -7,10 +7,11 @@ shared again by weight among the rest.
 
 Rates minimise the relative entropy sum m_i (r_i log r_i - r_i) under one token
 constraint a source, sum size_i r_i = target, with 0 <= r_i <= most. The base
-measure is m_i = size_i^`base`: with base 1 entropy is counted by token, so a
-source's documents share a rate and long ones aren't driven out; with base 0
-it is counted by document. The dual is convex, and its solution tilts documents
-exponentially: r_i = min(most, exp(lambda_s * size_i^(1 - base))). Newton steps
+measure is m_i = size_i^`base`: with base 0, the default, entropy is counted by
+document, and with base 1 by token, in which case a source's documents share a
+rate. The dual is convex, and its solution tilts documents exponentially:
+r_i = min(most, exp(lambda_s * size_i^(1 - base))), so a source that must shrink
+does so in its long documents first, and one that must grow grows in them. Newton steps
 on lambda are taken for all sources at once, each step one aggregation over a
 histogram of sizes, kept in a bracket that the dual's monotony gives. Sources,
 multipliers and brackets stay in DataFrames; the driver sees a residual.
@@ -24,8 +25,8 @@ so no group of equal documents is ranked in one task.
 
 Scale: documents are reduced to (id, source, size, hash) once, then to a
 histogram of distinct sizes, combined on the map side; a hot source is a
-histogram like any other. The order of sources needs one row a source in one
-task. Reruns agree: only hashes, counts and sorted orders decide.
+histogram like any other. Sources are ranked in ranges and filled by
+aggregations, so there may be as many as hosts. Reruns agree: only hashes, counts and sorted orders decide.
 
 Defined results: a null or empty text has size 0 and takes one copy of nothing;
 a null source is a source of its own; rows that share an id count each, equal
@@ -66,29 +67,42 @@ def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataF
     return rows.mapInArrow(measure, "id long, source string, size long, h long")
 
 
+def weighted(sizes: DataFrame, weights) -> DataFrame:
+    """(source, source_size, weight): weights dealt in the order of code points, null last.
+
+    Sources are ranked where they lie after a range partitioning, and only the
+    partitions' counts are summed in order.
+    """
+    first = F.col("source").asc_nulls_last()
+    dealt = common.cut(sizes.repartitionByRange(common.partitions(sizes.sparkSession), first).withColumn("p", F.spark_partition_id()))
+    before = dealt.groupBy("p").count().select("p", (F.sum("count").over(W.orderBy("p")) - F.col("count")).alias("before"))
+    rank = F.row_number().over(W.partitionBy("p").orderBy(first)) + F.col("before")
+    place = (F.pmod(rank - 1, F.lit(len(weights))) + 1).cast("int")
+    return dealt.join(F.broadcast(before), "p").select("source", "source_size", F.element_at(F.array(*map(F.lit, weights)), place).cast("double").alias("weight"))
+
+
 def targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
-    """(source, source_size, target): of sizes (source, source_size), a row a source."""
-    in_order = W.orderBy(F.col("source").asc_nulls_last())
-    listed = sizes.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (F.pmod(F.row_number().over(in_order) - 1, F.lit(len(weights))) + 1).cast("int")).cast("double"))
-    # water level: sources in the order in which they fill up; the level over those that don't
-    filling = W.orderBy(F.col("source_size") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = filling.rowsBetween(W.unboundedPreceding, -1)
-    whole = W.partitionBy()
-    levelled = listed.select(
-        "*",
-        F.sum("source_size").over(whole).alias("all"),
-        F.coalesce(F.sum("source_size").over(before), F.lit(0)).alias("full"),
-        (F.sum("weight").over(whole) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))).alias("rest"),
-    ).withColumn("level", (F.col("all") - F.lit(most) * F.col("full")) / F.col("rest"))
-    # the first source that its own level doesn't fill sets the level for all behind it
-    level = F.min(F.when(F.lit(most) * F.col("source_size") >= F.col("level") * F.col("weight"), F.struct(F.col("source_size") / F.col("weight"), "level"))).over(whole)["level"]
-    return levelled.withColumn("at", level).select(
-        "source", "source_size",
-        F.when(F.col("at").isNull() | (F.lit(most) * F.col("source_size") < F.col("at") * F.col("weight")), F.lit(most).cast("double") * F.col("source_size")).otherwise(F.col("at") * F.col("weight")).alias("target"),
-    )
-
-
-def duals(cells: DataFrame, goal: DataFrame, *, base: float = 1.0, most: int = MOST, near: float = 1e-9, steps: int = 60) -> DataFrame:
+    """(source, source_size, target): of sizes (source, source_size), a row a source.
+
+    The level is raised round by round: sources that it fills stop at `most`
+    times their size, and the rest share what they can't take. A round is one
+    aggregation; the driver sees two sums.
+    """
+    listed = common.cut(weighted(sizes, weights))
+    whole = listed.agg(F.sum("source_size"), F.sum("weight")).first()
+    total, level = whole[0] or 0, (whole[0] or 0) / (whole[1] or 1)
+    while True:
+        full = F.lit(most) * F.col("source_size") < F.lit(level) * F.col("weight")
+        own = listed.agg(F.sum(F.when(full, F.col("source_size")).otherwise(0)), F.sum(F.when(full, 0.0).otherwise(F.col("weight")))).first()
+        raised = (total - most * own[0]) / own[1] if own[1] else level
+        if raised <= level:
+            break
+        level = raised
+    share = F.when(full, F.lit(most).cast("double") * F.col("source_size")).otherwise(F.lit(level) * F.col("weight"))
+    return listed.select("source", "source_size", share.alias("target"))
+
+
+def duals(cells: DataFrame, goal: DataFrame, *, base: float = 0.0, most: int = MOST, near: float = 1e-9, steps: int = 60) -> DataFrame:
     """(source, lam): the multipliers, by distributed Newton steps within brackets.
 
     cells: (source, size, n) with size > 0; goal: (source, source_size, target).
@@ -153,7 +167,7 @@ def rounded(cells: DataFrame, base: float, most: int) -> DataFrame:
 
 def mix(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-    weights=WEIGHTS, most: int = MOST, base: float = 1.0,
+    weights=WEIGHTS, most: int = MOST, base: float = 0.0,
 ) -> DataFrame:
     """(id, source, size, source_size, target, copies): a row for each of docs, with h of its id and text."""
     rows = common.cut(sized(docs, id_col, text_col, source_col))

@@ -163,6 +163,47 @@ def test_mixing(docs):
             first = said
 
 
+def test_mixing_tilts_documents(docs):
+    """Production's multipliers and rates against bisection, source by source."""
+    sizes, by = defaultdict(list), defaultdict(int)
+    for r in ROWS:
+        sizes[r[3]].append(len(WIDE.findall(r[1] or "")))
+        by[r[3]] += sizes[r[3]][-1]
+    want = water(by)
+    rows = common.cut(mixing.sized(docs, "doc_id", "text", "source"))
+    cells = rows.groupBy("source", "size").agg(F.count("*").alias("n"))
+    goal = mixing.targets(cells.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")))
+    got = {r["source"]: r["lam"] for r in mixing.duals(cells.filter("size > 0"), goal.filter("source_size > 0")).collect()}
+    assert set(got) == {s for s in by if by[s]}
+    for s, lam in got.items():
+        z = np.array([x for x in sizes[s] if x], float)
+        taken = lambda v: float((z * np.minimum(np.exp(np.minimum(v * z, 50)), 3)).sum())
+        lo, hi = -60.0, 60.0
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if taken(mid) < want[s] else (lo, mid)
+        assert taken(lam) == pytest.approx(want[s], rel=1e-6)
+        assert np.minimum(np.exp(np.minimum(lam * z, 50)), 3) == pytest.approx(np.minimum(np.exp(np.minimum(hi * z, 50)), 3), rel=1e-4, abs=1e-9)
+    # documents of a source differ in rate, and copies stay within one of it
+    copies = defaultdict(list)
+    for r in mixing.mix(docs).collect():
+        if r["size"]:
+            copies[r["source"], r["size"]].append(r["copies"])
+            rate = min(3.0, math.exp(min(50, got[r["source"]] * r["size"])))
+            assert abs(r["copies"] - rate) <= 1 + 1e-6 or r["size"] > 1000
+    rates = defaultdict(set)
+    for s, z in copies:
+        rates[s].add(round(min(3.0, math.exp(min(50, got[s] * z))), 4))
+    assert max(map(len, rates.values())) > 1
+
+
+def test_many_sources(spark):
+    r = np.random.default_rng(3)
+    sizes = {f"host{i}": int(n) for i, n in enumerate(r.integers(1, 1000, 300))} | {None: 5, "": 10**6}
+    got = {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long").repartition(7)).collect()}
+    assert got == {s: pytest.approx(t) for s, t in water(sizes).items()}
+
+
 def test_targets(spark):
     for sizes in ({"a": 100, "b": 1, "c": 5, "d": 1000}, {"a": 7}, {"a": 5, None: 100}, {"b": 0, "c": 10}, {"a": 1, "b": 1, "c": 1, "d": 5000, "e": 20}):
         frame = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
