@@ -17,14 +17,17 @@ judged by the rest of the corpus and backing off happens.
 
 Scale: an n-gram leaves a chunk once however often it stands there, as a
 delta-coded key of under six bytes; a word that is everywhere is one entry a
-chunk. Buckets follow the number of characters, so a bucket's keys fit in
+chunk. A chunk's work follows its n-grams, however many buckets there are; of
+CHUNK_CHARS and BUCKET_CHARS of characters, a block has some 500 keys at 30 GB
+of input, and from a few TB on larger chunks and buckets than the default ones,
+for executors of more memory, keep blocks from falling to single keys. Buckets follow the number of characters, so a bucket's keys fit in
 memory, and hashes deal them evenly. Texts are shuffled once to their chunks,
 compressed, and that shuffle is used for both passes. No count is cut off or
 sampled.
 
 Defined results: a null or empty text has no words, no score (null) and
 log-probability 0; rows that share an id are scored each by itself, leaving out
-only their own counts; extra columns are ignored.
+only their own counts; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -138,16 +141,19 @@ def unpacked_counts(raw: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(raw[1:]), f"<u{raw[0]}").astype(np.int64)
 
 
-def bounds(buckets: int) -> np.ndarray:
-    """First key of each bucket: equal ranges of the hash."""
-    return np.array([(i << 64) // buckets for i in range(buckets)], U)
+def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each key, ascending with it: equal ranges of the hash."""
+    return (keys >> U(32)) * U(buckets) >> U(32)
 
 
-def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, backoff: float = BACKOFF) -> DataFrame:
+def score(
+    docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, backoff: float = BACKOFF,
+    chunk_chars: int | None = None, bucket_chars: int | None = None,
+) -> DataFrame:
     """(id, n_words, log_prob, n_seen) of each of docs; n_seen words had their full context's n-gram elsewhere."""
     spark = docs.sparkSession
     chars = docs.agg(F.sum(F.length(text_col))).first()[0] or 0
-    chunks, buckets = 1 + chars // CHUNK_CHARS, 1 + chars * order // BUCKET_CHARS
+    chunks, buckets = 1 + chars // (chunk_chars or CHUNK_CHARS), 1 + chars * order // (bucket_chars or BUCKET_CHARS)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("id", "text"), F.lit(chunks)).cast("int"))
     dealt = rows.mapInArrow(packs, PACKS).repartition(max(common.partitions(spark), 1), "chunk")
@@ -155,12 +161,10 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", or
     def explode(table: pa.Table) -> pa.Table:
         all_keys = np.concatenate([k for k, _ in grams(unpacked_docs(table)[1], order)])
         keys, counts = np.unique(all_keys, return_counts=True)
-        edges = np.append(np.searchsorted(keys, bounds(buckets)), len(keys))
-        chunk, out = table.column("chunk")[0].as_py(), []
-        for i, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-            if b > a:
-                out.append((i, chunk, b - a, packed_keys(keys[a:b]), packed_counts(counts[a:b])))
-        return arrays(out, BLOCKS)
+        bucket = bucket_of(keys, buckets).astype(np.int64)
+        edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1)) if len(keys) else np.zeros(0, np.int64)
+        chunk = table.column("chunk")[0].as_py()  # only buckets that the chunk has keys of
+        return arrays([(int(bucket[a]), chunk, b - a, packed_keys(keys[a:b]), packed_counts(counts[a:b])) for a, b in zip(edges[:-1], edges[1:], strict=True)], BLOCKS)
 
     def count(table: pa.Table) -> pa.Table:
         # a bucket's part of the count table, then each block's answer from it
@@ -232,11 +236,6 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_words", "n_seen", F.round("log_prob", 6).alias("log_prob"), F.round(mean, 6).alias("score"))
 
 
-def op6_trigram_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trigram stupid-backoff scores of `documents`, each by the counts of all others."""
-    return digest(score(common.table(spark, sf_dir, "documents"), order=3))
-
-
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with bigrams, the order that this query's SQL fixes."""
-    return digest(score(common.table(spark, sf_dir, "documents"), order=2))
+    """Trigram stupid-backoff scores of `documents`, each by the counts of all others."""
+    return digest(score(common.table(spark, sf_dir, "documents")))

@@ -15,7 +15,6 @@ QUERIES = {
     "op3_line_dedup": linededup.op3_line_dedup,
     "op4_near_dedup": neardup.op4_near_dedup,
     "op5_warc": warc.op5_warc,
-    "op6_trigram_score": lmscore.op6_trigram_score,
     "op6_lm_score": lmscore.op6_lm_score,
     "op7_toxicity": toxicity.op7_toxicity,
     "op8_media": media.op8_media,
@@ -72,19 +71,25 @@ SELECT page_id, CAST(strlen(p) AS BIGINT) AS payload_bytes, array_to_string(list
 
 LM_SCORE = f"""
 WITH d AS (SELECT doc_id, {WIDE} AS w FROM documents),
-t AS (SELECT doc_id, w[i] AS x, CASE WHEN i > 1 THEN w[i - 1] END AS c FROM d, unnest(range(1, len(w) + 1)) r(i)),
+t AS (SELECT doc_id, w[i] AS x, CASE WHEN i > 1 THEN w[i - 1] END AS c, CASE WHEN i > 2 THEN w[i - 2] END AS e FROM d, unnest(range(1, len(w) + 1)) r(i)),
 total AS (SELECT count(*) AS n FROM t),
 size AS (SELECT doc_id, count(*) AS n FROM t GROUP BY 1),
 u AS (SELECT x, count(*) AS n FROM t GROUP BY 1),
 u_own AS (SELECT doc_id, x, count(*) AS n FROM t GROUP BY 1, 2),
 b AS (SELECT c, x, count(*) AS n FROM t WHERE c IS NOT NULL GROUP BY 1, 2),
 b_own AS (SELECT doc_id, c, x, count(*) AS n FROM t WHERE c IS NOT NULL GROUP BY 1, 2, 3),
-k AS (SELECT t.doc_id, t.c, u.n - uo.n AS n_x, cu.n - cuo.n AS n_c, coalesce(b.n - bo.n, 0) AS n_b, greatest(1, total.n - size.n) AS rest
+g AS (SELECT e, c, x, count(*) AS n FROM t WHERE e IS NOT NULL GROUP BY 1, 2, 3),
+g_own AS (SELECT doc_id, e, c, x, count(*) AS n FROM t WHERE e IS NOT NULL GROUP BY 1, 2, 3, 4),
+k AS (SELECT t.doc_id, t.c, t.e, u.n - uo.n AS n_x, cu.n - cuo.n AS n_c, coalesce(b.n - bo.n, 0) AS n_b, coalesce(cb.n - cbo.n, 0) AS n_ec, coalesce(g.n - go.n, 0) AS n_g, greatest(1, total.n - size.n) AS rest
   FROM t CROSS JOIN total JOIN size ON size.doc_id = t.doc_id JOIN u ON u.x = t.x JOIN u_own uo ON uo.doc_id = t.doc_id AND uo.x = t.x
   LEFT JOIN u cu ON cu.x = t.c LEFT JOIN u_own cuo ON cuo.doc_id = t.doc_id AND cuo.x = t.c
-  LEFT JOIN b ON b.c = t.c AND b.x = t.x LEFT JOIN b_own bo ON bo.doc_id = t.doc_id AND bo.c = t.c AND bo.x = t.x),
-s AS (SELECT doc_id, CASE WHEN c IS NULL THEN n_x > 0 ELSE n_b > 0 END AS seen,
-  CASE WHEN c IS NOT NULL AND n_b > 0 THEN ln(n_b / CAST(n_c AS DOUBLE)) ELSE CASE WHEN c IS NULL THEN 0 ELSE ln(CAST(0.4 AS DOUBLE)) END + ln(greatest(n_x, CAST(0.5 AS DOUBLE)) / rest) END AS l FROM k)
+  LEFT JOIN b ON b.c = t.c AND b.x = t.x LEFT JOIN b_own bo ON bo.doc_id = t.doc_id AND bo.c = t.c AND bo.x = t.x
+  LEFT JOIN b cb ON cb.c = t.e AND cb.x = t.c LEFT JOIN b_own cbo ON cbo.doc_id = t.doc_id AND cbo.c = t.e AND cbo.x = t.c
+  LEFT JOIN g ON g.e = t.e AND g.c = t.c AND g.x = t.x LEFT JOIN g_own go ON go.doc_id = t.doc_id AND go.e = t.e AND go.c = t.c AND go.x = t.x),
+l1 AS (SELECT *, ln(greatest(n_x, CAST(0.5 AS DOUBLE)) / rest) AS s1 FROM k),
+l2 AS (SELECT *, CASE WHEN c IS NULL THEN s1 WHEN n_b > 0 THEN ln(n_b / CAST(n_c AS DOUBLE)) ELSE ln(CAST(0.4 AS DOUBLE)) + s1 END AS s2 FROM l1),
+s AS (SELECT doc_id, CASE WHEN c IS NULL THEN n_x > 0 WHEN e IS NULL THEN n_b > 0 ELSE n_g > 0 END AS seen,
+  CASE WHEN e IS NULL THEN s2 WHEN n_g > 0 THEN ln(n_g / CAST(n_ec AS DOUBLE)) ELSE ln(CAST(0.4 AS DOUBLE)) + s2 END AS l FROM l2)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, count(*) FILTER (seen) AS n_seen, round(coalesce(sum(l), 0), 6) AS log_prob, round(CASE WHEN len(w) > 0 THEN sum(l) / len(w) END, 6) AS score
 FROM d LEFT JOIN s USING (doc_id) GROUP BY d.doc_id, len(w)
 """

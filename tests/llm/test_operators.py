@@ -481,7 +481,7 @@ def test_query_counts_trigrams(spark, tmp_path):
 
     rows = [(0, "a b c"), (1, "A b\nc"), (2, "x b d"), (3, None)]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {r["doc_id"]: r for r in queries.QUERIES["op6_trigram_score"](spark, str(tmp_path)).collect()}
+    got = {r["doc_id"]: r for r in queries.QUERIES["op6_lm_score"](spark, str(tmp_path)).collect()}
     # c follows "a b" in all other documents, but b alone in half of them
     assert got[0]["log_prob"] == got[1]["log_prob"] == round(math.log(1 / 6), 6) and got[0]["n_seen"] == 3
     assert got[3]["n_words"] == 0 and got[3]["score"] is None
