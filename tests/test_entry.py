@@ -3,6 +3,8 @@
 import importlib
 import sys
 
+import pytest
+
 import __spark_entry__ as entry
 
 
@@ -26,6 +28,16 @@ def test_the_rest_works_without_the_subpackage(monkeypatch):
     importlib.reload(entry)
 
 
+def test_a_missing_library_is_an_error(monkeypatch):
+    if not entry.llm()[0]:
+        pytest.skip("the subpackage is not installed")
+    for name in [n for n in sys.modules if n.startswith("quintet.llm") or n == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "zstandard", None)
+    with pytest.raises(ImportError, match="zstandard"):
+        entry.queries()
+
+
 def test_nothing_outside_imports_the_subpackage():
     import pathlib
 
