@@ -98,8 +98,8 @@ def contamination(text, window=13):
 
 def test_decontaminate(docs, benchmark):
     text = {r[0]: r[1] for r in ROWS}
-    for block in (64 << 20, 2000):  # one automaton, and several
-        got = decontaminate.find(docs, benchmark, block_bytes=block).collect()
+    for most in (1 << 20, 200):  # one automaton, and several
+        got = decontaminate.find(docs, benchmark, most_nodes=most).collect()
         assert len(got) == len(ROWS)
         for r in got:
             n, hits, items, bad, words, hit = contamination(text[r["doc_id"]])
@@ -116,8 +116,29 @@ def test_decontaminate_odd(odd, none, benchmark, spark):
     assert decontaminate.find(odd, benchmark.filter("false")).agg(F.sum("n_hit")).first()[0] == 0
     named = spark.createDataFrame([(None, "a b c")], "item_id long, text string")
     assert rows_of(decontaminate.find(odd.filter("doc_id = 1"), named), "n_hit", "n_items") == [(0, 0), (3, 0), (3, 0)]
-    with pytest.raises(ValueError, match="most_bytes"):
-        decontaminate.find(odd, benchmark, most_bytes=10)
+
+
+def test_pieces_find_every_window():
+    r = random.Random(8)
+    for trial in range(400):
+        window, words = r.choice([1, 2, 3, 5, 13]), [f"v{i}" for i in range(r.choice([2, 3, 40]))]  # few words repeat and overlap
+        items = [(str(i), [r.choice(words) for _ in range(r.randint(0, 3 * window + 2))]) for i in range(4)] + [(None, [words[0]] * window)]
+        doc = [r.choice(words) for _ in range(20)]
+        for _ in range(2):
+            own, at = r.choice(items)[1], r.randint(0, 20)
+            a = r.randint(0, len(own))
+            doc[at:at] = own[a : a + r.randint(0, 2 * window)]
+        hit, of = set(), set()
+        for ident, own in items:
+            n = min(window, len(own))
+            for a in range(len(own) - n + 1) if n else ():
+                for i in range(len(doc) - n + 1):
+                    if doc[i : i + n] == own[a : a + n]:
+                        hit.update(range(i, i + n))
+                        of.add(ident)
+        scan = decontaminate.Scanner([(i, " ".join(w).encode()) for i, w in items], window).scan([w.encode() for w in doc])
+        assert {i for a, b, _ in scan for i in range(a, b)} == hit, trial
+        assert {x[2] for x in scan} == of
 
 
 # 2
