@@ -67,28 +67,29 @@ def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataF
     return rows.mapInArrow(measure, "id long, source string, size long, h long")
 
 
-def weighted(sizes: DataFrame, weights) -> DataFrame:
+def weighted(sizes: DataFrame, weights, keep: common.Scratch) -> DataFrame:
     """(source, source_size, weight): weights dealt in the order of code points, null last.
 
     Sources are ranked where they lie after a range partitioning, and only the
     partitions' counts are summed in order.
     """
     first = F.col("source").asc_nulls_last()
-    dealt = common.cut(sizes.repartitionByRange(common.partitions(sizes.sparkSession), first).withColumn("p", F.spark_partition_id()))
+    dealt = keep(sizes.repartitionByRange(common.partitions(sizes.sparkSession), first).withColumn("p", F.spark_partition_id()))
     before = dealt.groupBy("p").count().select("p", (F.sum("count").over(W.orderBy("p")) - F.col("count")).alias("before"))
     rank = F.row_number().over(W.partitionBy("p").orderBy(first)) + F.col("before")
     place = (F.pmod(rank - 1, F.lit(len(weights))) + 1).cast("int")
     return dealt.join(F.broadcast(before), "p").select("source", "source_size", F.element_at(F.array(*map(F.lit, weights)), place).cast("double").alias("weight"))
 
 
-def targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
+def targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST, keep: common.Scratch | None = None) -> DataFrame:
     """(source, source_size, target): of sizes (source, source_size), a row a source.
 
     The level is raised round by round: sources that it fills stop at `most`
     times their size, and the rest share what they can't take. A round is one
     aggregation; the driver sees two sums.
     """
-    listed = common.cut(weighted(sizes, weights))
+    keep = keep or common.Scratch(sizes.sparkSession)
+    listed = keep(weighted(sizes, weights, keep))
     whole = listed.agg(F.sum("source_size"), F.sum("weight")).first()
     total, level = whole[0] or 0, (whole[0] or 0) / (whole[1] or 1)
     while True:
@@ -102,11 +103,12 @@ def targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     return listed.select("source", "source_size", share.alias("target"))
 
 
-def duals(cells: DataFrame, goal: DataFrame, *, base: float = 0.0, most: int = MOST, near: float = 1e-9, steps: int = 60) -> DataFrame:
+def duals(cells: DataFrame, goal: DataFrame, *, base: float = 0.0, most: int = MOST, near: float = 1e-9, steps: int = 60, keep: common.Scratch | None = None) -> DataFrame:
     """(source, lam): the multipliers, by distributed Newton steps within brackets.
 
     cells: (source, size, n) with size > 0; goal: (source, source_size, target).
     """
+    keep = keep or common.Scratch(cells.sparkSession)
     tilt = F.pow(F.col("size").cast("double"), F.lit(1.0 - base))
     rated = cells.withColumn("x", tilt)
     span = rated.groupBy("source").agg(F.min("x").alias("x0"))
@@ -114,12 +116,13 @@ def duals(cells: DataFrame, goal: DataFrame, *, base: float = 0.0, most: int = M
     bound = F.log(F.col("target") / F.col("source_size")) / F.col("x0")
     full = F.col("target") >= F.lit(most) * F.col("source_size")
     edge = F.lit(math.log(most)) / F.col("x0")
-    state = common.cut(state.select(
+    state = keep(state.select(
         "source", "target",
         F.when(full, edge).otherwise(F.lit(0.0)).alias("lam"),
         F.when(full, edge).otherwise(F.least(bound, F.lit(0.0))).alias("lo"),
         F.when(full | (bound > 0), edge).otherwise(F.lit(0.0)).alias("hi"),
     ))
+    table = state
     for _ in range(steps):
         rate = F.least(F.exp(F.col("lam") * F.col("x")), F.lit(float(most)))
         words = F.col("n") * F.col("size")
@@ -133,11 +136,12 @@ def duals(cells: DataFrame, goal: DataFrame, *, base: float = 0.0, most: int = M
         newton = F.when(F.col("slope") > 0, F.col("lam") - (F.col("taken") - F.col("target")) / F.col("slope"))
         inside = newton.isNotNull() & (newton >= F.col("lo")) & (newton <= F.col("hi"))
         off = F.abs(F.col("taken") - F.col("target")) / F.col("target")
-        at = common.cut(at.select(
+        at = keep(at.select(
             "source", "target", "lo", "hi", off.alias("off"),
             F.when(off <= near, F.col("lam")).when(inside, newton).otherwise((F.col("lo") + F.col("hi")) / 2).alias("lam"),
         ))
-        state = at.drop("off")
+        keep.drop(table)
+        table, state = at, at.drop("off")
         worst = at.agg(F.max("off")).first()[0]
         if worst is None or worst <= near:
             break
@@ -170,13 +174,15 @@ def mix(
     weights=WEIGHTS, most: int = MOST, base: float = 0.0,
 ) -> DataFrame:
     """(id, source, size, source_size, target, copies): a row for each of docs, with h of its id and text."""
-    rows = common.cut(sized(docs, id_col, text_col, source_col))
-    cells = common.cut(rows.groupBy("source", "size").agg(F.count("*").alias("n")))
-    goal = common.cut(targets(cells.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), weights, most))
+    keep = common.Scratch(docs.sparkSession)
+    rows = keep(sized(docs, id_col, text_col, source_col))
+    cells = keep(rows.groupBy("source", "size").agg(F.count("*").alias("n")))
+    goal = keep(targets(cells.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), weights, most, keep))
     some = cells.filter("size > 0")
-    lam = duals(some, goal.filter("source_size > 0"), base=base, most=most)
+    lam = duals(some, goal.filter("source_size > 0"), base=base, most=most, keep=keep)
     tilted = some.join(lam.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    plan = common.cut(rounded(tilted, base, most))
+    plan = keep(rounded(tilted, base, most))
+    keep.close(rows, goal, plan)
 
     # documents of a size are ranked by hash within bins; a bin's share of the further copies follows its place
     both = rows.join(plan.withColumnsRenamed({"source": "s", "size": "z"}), F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")), "left").drop("s", "z")

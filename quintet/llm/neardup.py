@@ -14,7 +14,7 @@ be looked up under its size - least + 1 rarest values only, since two lists
 that share `least` values must meet in those. Values of passages that many
 documents share are the frequent ones and so are not looked up.
 
-A group of classes under one value never becomes all its pairs. Round by round
+A group of classes under one value never becomes all its pairs. First
 each member is compared with two hubs of its group that lie in other
 components, verified links merge components, and values within a single
 component are skipped from then on, which resolves groups of near copies in a
@@ -22,7 +22,7 @@ number of pairs linear in their size. Members of different components that
 still share enough values are looked up once more, by the shingles themselves:
 the same skipping and prefixes, now with the exact number of shingles that a
 link needs, leave a member that is far from all others without a single lookup.
-What is left after further rounds of hubs is compared pair by pair under the
+What is left after a round of hubs there, too, is compared pair by pair under the
 rarest shingles, so that no link is lost.
 
 Comparing streams the members past their hub: rows are dealt by hub and a salt
@@ -98,8 +98,8 @@ def full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, wi
 FILTER_BITS = 1 << 26
 
 
-def within(docs: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
-    """docs without most of those that have none of the ids, so that their texts needn't be shuffled.
+def within(docs: DataFrame, id_col: str, ids: DataFrame):
+    """docs without most of those that have none of the ids, so that their texts needn't be shuffled, and the broadcast.
 
     A filter of fixed size: the more ids, the more other rows pass, and a join decides.
     """
@@ -116,7 +116,7 @@ def within(docs: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
             where = b.column(b.num_columns - 1).to_numpy()
             yield b.filter(pa.array((sent.value[where >> 6] >> (where & 63) & 1).astype(bool)))
 
-    return at.mapInArrow(keep, at.schema).drop("__at")
+    return at.mapInArrow(keep, at.schema).drop("__at"), sent
 
 
 def verified(pairs: DataFrame, facts: DataFrame, least: int, percent: int) -> DataFrame:
@@ -230,7 +230,7 @@ def crossings(rare: DataFrame, percent: int) -> DataFrame:
 
 def near_duplicates(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, coords: int = COORDS,
-    least: int = LEAST, percent: int = PERCENT, star_rounds: int = 2,
+    least: int = LEAST, percent: int = PERCENT, star_rounds: int = 1,
 ) -> DataFrame:
     """(id_col, n_shingles, cid, text_hash, component_id, kept), a row for each of docs.
 
@@ -247,8 +247,9 @@ def near_duplicates(
     keys = posts.groupBy("key").count().filter("count > 1").select("key")
     shared = keep(posts.join(keys, "key").groupBy("cid").agg(F.collect_list("key").alias("ks")).filter(F.size("ks") >= least))
     wanted = classes.join(shared.select("cid"), "cid", "left_semi").select(F.col("rep").alias("id"), "cid", "sig")
-    texts = within(docs.select(id_col, text_col), id_col, wanted.select("id"))
+    texts, sent = within(docs.select(id_col, text_col), id_col, wanted.select("id"))
     facts = keep(full_sets(texts, wanted.select("id", "cid"), id_col, text_col, width).dropDuplicates(["cid"]).join(wanted.select("cid", "sig"), "cid"))
+    sent.unpersist()
 
     labels = tried = None
     members = shared.select("cid", F.lit(least).alias("need"), F.lit(coords).alias("total"), F.explode("ks").alias("key"))

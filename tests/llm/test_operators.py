@@ -373,9 +373,11 @@ def test_components(spark):
         for a, b in links * n:
             low = min(parent[a], parent[b])
             parent[a] = parent[b] = low
-        got = dict(tuple(x) for x in components.components(spark.createDataFrame(links, "u long, v long"), common.Scratch(spark)).collect())
-        assert all(got[i] == parent[i] for i in got)
-        assert set(got) == {x for a, b in links if a != b for x in (a, b)}
+        for at_once in (1 << 20, max(1, len(links) // 5)):  # one task, and several
+            found = components.components(spark.createDataFrame(links, "u long, v long").repartition(6), common.Scratch(spark), at_once=at_once).collect()
+            got = dict(tuple(x) for x in found)
+            assert all(got[i] == parent[i] for i in got) and len(found) == len(got)
+            assert set(got) == {x for a, b in links if a != b for x in (a, b)}
 
 
 # 5
