@@ -8,7 +8,7 @@ in place, an expression returns the changed value.
 from __future__ import annotations
 
 import json
-import re
+import math
 
 import pandas as pd
 from pyspark.sql import Column
@@ -20,7 +20,7 @@ EPSILON = 2.220446049250313e-16
 
 
 def parse(text, schema: str | None = None) -> Column:
-    """A struct, map or array of the schema, or without one a VARIANT; NULL if it isn't JSON."""
+    """A struct, map or array of the schema, or without one a VARIANT; NULL if it isn't JSON or nests over 1000 deep."""
     return F.from_json(as_col(text), schema) if schema else F.try_parse_json(as_col(text))
 
 
@@ -34,6 +34,29 @@ def printed(value, pretty: bool = False, nulls: bool = True) -> Column:
     return F.to_json(as_col(value), {"pretty": str(pretty).lower(), "ignoreNullFields": str(not nulls).lower()})
 
 
+def number_text(x) -> Column:
+    """A number as JSON: whole ones of 32 bits plainly, others in 15 significant digits if these read back to it
+    (within a relative epsilon), else in 17; null for NaN and infinities. In Arrow batches, as C's %g has no
+    counterpart among Spark's functions."""
+
+    def one(v):
+        if v is None:
+            return None
+        if math.isnan(v) or math.isinf(v):
+            return "null"
+        if v == int(v) and -(1 << 31) <= v < 1 << 31:
+            return str(int(v))
+        short = "%1.15g" % v
+        return short if abs(float(short) - v) <= max(abs(float(short)), abs(v)) * EPSILON else "%1.17g" % v
+
+    # as text, since pandas would take NULL for NaN
+    @F.pandas_udf("string")
+    def run(x: pd.Series) -> pd.Series:
+        return pd.Series([one(None if v is None else float(v)) for v in x], dtype=object)
+
+    return run(as_col(x).cast("double").cast("string"))
+
+
 def finite(x) -> Column:
     """x, or NULL for NaN and infinities, which JSON can't hold."""
     x = as_col(x)
@@ -107,22 +130,14 @@ def without_field(mapping, key: str, case_sensitive: bool = False) -> Column:
     return F.map_filter(as_col(mapping), lambda k, v: (k != key) if case_sensitive else (F.lower(k) != key.lower()))
 
 
-#: A string, or one of the things that minify drops. Strings come first, so comment marks inside them stay.
-TOKEN = re.compile(r'("(?:\\.|[^"\\])*")|//[^\n]*|/\*.*?\*/|\s+', re.S)
-
-
-def minify_text(text: str | None) -> str | None:
-    return None if text is None else TOKEN.sub(lambda m: m[1] or "", text)
+#: A string, or one of the things that minify drops. Strings come first, so comment marks inside them stay;
+#: nothing is given back, so long strings need no stack.
+TOKEN = r'("[^"\\]*+(?:\\.[^"\\]*+)*+")|//[^\n]*+|(?s:/\*.*?\*/)|[ \t\r\n]++'
 
 
 def minify(text) -> Column:
-    """White space and // and /* */ comments outside strings dropped, in Arrow batches."""
-
-    @F.pandas_udf("string")
-    def run(x: pd.Series) -> pd.Series:
-        return x.map(minify_text, na_action="ignore")
-
-    return run(as_col(text))
+    """White space and // and /* */ comments outside strings dropped."""
+    return F.regexp_replace(as_col(text), TOKEN, "$1")
 
 
 def same(a, b, case_sensitive: bool = True) -> bool:

@@ -104,6 +104,19 @@ def sha256(x) -> Column:
     return F.sha2(as_col(x), 256)
 
 
+def xored(a, b) -> Column:
+    return as_col(a).bitwiseXOR(as_col(b))
+
+
+def shifted_left(x, n: int, bits: int = 32) -> Column:
+    """Of an unsigned number of `bits` bits, held in a long."""
+    return F.shiftleft(as_col(x).cast("long"), n).bitwiseAND(F.lit((1 << bits) - 1))
+
+
+def shifted_right(x, n: int) -> Column:
+    return F.shiftrightunsigned(as_col(x).cast("long"), n)
+
+
 def rotated_right(x, n: int, bits: int = 32) -> Column:
     """Rotation of an unsigned number of `bits` bits, held in a long."""
     x, mask = as_col(x).cast("long"), (1 << bits) - 1

@@ -107,6 +107,20 @@ def transaction(rng: Pcg32, kind: str, all_codes: list[str]) -> dict:
     }
 
 
+def stream(spark: SparkSession, seed: int, n: int) -> DataFrame:
+    """(i, draw, unit) of the generator's first n numbers."""
+
+    def run(batches):
+        rng = Pcg32(seed)
+        for _ in batches:
+            pass
+        for a in range(0, n, 10_000):
+            draws = [rng.draw() for _ in range(a, min(n, a + 10_000))]
+            yield pd.DataFrame({"i": range(a, a + len(draws)), "draw": draws, "unit": [d / 4294967295.0 for d in draws]})
+
+    return spark.range(1).coalesce(1).mapInPandas(run, "i long, draw long, unit double")
+
+
 def drawn(spark: SparkSession, n: int, fraud_ratio: float, seed: int, risk: dict[str, float], label: bool) -> DataFrame:
     """(idx, profile, label, transaction columns) in the order of the stream."""
     codes = [k for k, _ in vectorize.usable(risk)]

@@ -6,7 +6,7 @@ neighbours_sql     relational: a broadcast nested-loop join and row_number() <=
                    which plans as a window group limit on both sides of the shuffle
 neighbours         numpy blocks in Arrow batches; how the work is dealt follows a
                    check of the sizes:
-    broadcast      the references, if they take up to `most_bytes`
+    broadcast      the references, if they take up to `most_bytes` as arrays
     grid           else queries and references are dealt into blocks, each pair of
                    blocks is searched by itself, and partial results are merged by
                    the same window; no side has to fit anywhere as a whole
@@ -15,6 +15,13 @@ bucketed           with an exact pruning rule for the 14-dimensional vectors: ot
                    reference at a squared distance of at least 1, so five neighbours
                    nearer than that within a query's own bucket are the answer
 
+Within a task references lie in leaves of near vectors with a box around each. A
+query looks into the leaf whose box is nearest, and after that only into leaves
+whose box is no further than its worst neighbour so far; as boxes' distances are
+summed in the same order from gaps that are never wider, rounding included, no
+neighbour is lost. Queries go in tiles of near ones, so that a leaf is compared
+with many at once.
+
 Distances are summed from the first dimension to the last, as squared_l2 does,
 and never by |a|^2 - 2ab + |b|^2, whose rounding could change ties. A candidate
 needs a squared distance below 1e30; NaN is never below it.
@@ -23,7 +30,8 @@ needs a squared distance below 1e30; NaN is never below it.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -32,7 +40,7 @@ from quintet.functions.scalars import squared_l2
 from quintet.schema import K, THRESHOLD
 
 FAR = 1e30
-MOST_BYTES = 512 << 20
+MOST_BYTES = 64 << 20
 BLOCK_ROWS = 200_000
 FOUND = "q_id bigint, rank int, ref_idx bigint, label string, d2 double"
 
@@ -43,17 +51,30 @@ def top_k(pairs: DataFrame, k: int = K) -> DataFrame:
     return pairs.filter(F.col("d2") < FAR).filter(~F.isnan("d2")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def neighbours_sql(queries: DataFrame, references: DataFrame, k: int = K, leave_out_self: bool = False) -> DataFrame:
+def neighbours_sql(queries: DataFrame, references: DataFrame, k: int = K, leave_out_self: bool = False, most_bytes: int = MOST_BYTES) -> DataFrame:
     """(q_id, rank, ref_idx, label, d2) of queries (q_id, vector) among references (ref_idx, vector, label).
 
-    Only for references that are known to be small: all pairs are formed.
+    All pairs are formed, so only for references of a checked size. Vectors are
+    spread into columns, so that distances are plain generated code.
     """
-    right = references.select("ref_idx", "label", F.col("vector").cast("array<double>").alias("r"))
-    left = queries.select("q_id", F.col("vector").cast("array<double>").alias("q"))
+    size = size_of(references)[1]
+    if size > most_bytes:
+        raise ValueError(f"references take {size} bytes and all pairs would be formed; use neighbours")
+    lengths = lambda rows: rows.agg(F.coalesce(F.max(F.size("vector")), F.lit(0)), F.coalesce(F.min(F.size("vector")), F.lit(0))).first()
+    (dims, least), (own, least_own) = lengths(references), lengths(queries)
+    spread = lambda v, name: [F.coalesce(F.get(F.col(v).cast("array<double>"), F.lit(i)), F.lit(float("nan"))).alias(f"{name}{i}") for i in range(dims)]
+    if dims != least or dims != own or dims != least_own:  # vectors of several lengths, or null
+        right, left = references.select("ref_idx", "label", F.col("vector").cast("array<double>").alias("r")), queries.select("q_id", F.col("vector").cast("array<double>").alias("q"))
+        d2 = squared_l2("q", "r")
+    else:
+        right, left = references.select("ref_idx", "label", *spread("vector", "r")), queries.select("q_id", *spread("vector", "q"))
+        d2 = F.lit(0.0)
+        for i in range(dims):
+            d2 = d2 + (F.col(f"q{i}") - F.col(f"r{i}")) * (F.col(f"q{i}") - F.col(f"r{i}"))
     pairs = left.crossJoin(F.broadcast(right))
     if leave_out_self:
         pairs = pairs.filter("q_id != ref_idx")
-    return top_k(pairs.select("q_id", "ref_idx", "label", squared_l2("q", "r").alias("d2")), k).select("q_id", "rank", "ref_idx", "label", "d2")
+    return top_k(pairs.select("q_id", "ref_idx", "label", d2.alias("d2")), k).select("q_id", "rank", "ref_idx", "label", "d2")
 
 
 def distances(q: np.ndarray, r: np.ndarray) -> np.ndarray:
@@ -71,55 +92,126 @@ def distances(q: np.ndarray, r: np.ndarray) -> np.ndarray:
 SLACK = 1e-12
 
 
-def nearest(q: np.ndarray, q_ids: np.ndarray | None, r: np.ndarray, r_ids: np.ndarray, k: int, tile: tuple[int, int] = (64, 4096)) -> tuple[np.ndarray, np.ndarray]:
-    """(places in r_ids, squared distances) of the k nearest, sorted; -1 where there are fewer.
-
-    r_ids ascend. q_ids: a reference of this id is left out, or None. Tiles of
-    queries and references stay in cache; a matrix product bounds a tile's
-    distances, and only pairs that may be among the k so far are computed in the
-    fixed order of summation. Values that aren't finite go without bounds.
-    """
-    n, m = len(q), len(r_ids)
-    place, d2 = np.full((n, k), -1), np.full((n, k), np.inf)
-    bounded = bool(np.isfinite(q).all() and np.isfinite(r).all() and (not q.size or np.abs(q).max() < 1e100) and (not r.size or np.abs(r).max() < 1e100))
-    spare = k + (q_ids is not None)
-    q_size, r_size = (q * q).sum(axis=1), (r * r).sum(axis=0)
-    doubled = -2.0 * q
-    for a in range(0, n, tile[0]):
-        own = q[a : a + tile[0]]
-        at, dist = place[a : a + tile[0]], d2[a : a + tile[0]]
-        for b in range(0, m, tile[1]):
-            part = r[:, b : b + tile[1]]
-            if bounded:
-                size, sizes = q_size[a : a + tile[0]], r_size[b : b + tile[1]]
-                low = doubled[a : a + tile[0]] @ part  # the distance less |q|^2, and less its slack
-                low += sizes * (1.0 - SLACK)
-                edge = dist[:, -1]
-                if np.isinf(edge).any() and part.shape[1] > spare:
-                    reach = np.partition(low + sizes * (2.0 * SLACK), spare - 1, axis=1)[:, spare - 1]
-                    edge = np.minimum(edge, reach + size * (1.0 + SLACK) + SLACK)
-                row, col = np.nonzero(low <= (edge - size * (1.0 - SLACK) + SLACK)[:, None])
-                value = exact(own, part, row, col)
-            else:
-                with np.errstate(invalid="ignore", over="ignore"):
-                    every = distances(own, part)
-                row, col = np.nonzero(every <= dist[:, -1, None])
-                value = every[row, col]
-            keep = value < FAR
-            if q_ids is not None:
-                keep &= q_ids[a + row] != r_ids[b + col]
-            if not keep.any():
-                continue
-            # what was best so far and what may be better; references ascend, so places decide ties
-            old = np.nonzero(at >= 0)
-            row = np.concatenate([old[0], row[keep]])
-            where, value = np.concatenate([at[old], b + col[keep]]), np.concatenate([dist[old], value[keep]])
-            order = np.lexsort((where, value, row))
-            row, where, value = row[order], where[order], value[order]
-            rank = np.arange(len(row)) - np.searchsorted(row, row)
-            keep = rank < k
-            at[row[keep], rank[keep]], dist[row[keep], rank[keep]] = where[keep], value[keep]
-    return place, d2
+#: Rows of a leaf of references and of a tile of queries.
+LEAF, TILE = 512, 512
+
+
+def leaves(rows: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(an order of the rows, where each leaf starts): halved at the median of the widest dimension."""
+    order, starts, open_ = np.arange(len(rows)), [], [(0, len(rows))]
+    while open_:
+        a, b = open_.pop()
+        if b - a <= most:
+            if b > a:
+                starts.append(a)
+            continue
+        own = rows[order[a:b]]
+        widest, half = int((own.max(axis=0) - own.min(axis=0)).argmax()), (b - a) // 2
+        order[a:b] = order[a:b][np.argpartition(own[:, widest], half)]
+        open_ += [(a, a + half), (a + half, b)]
+    return order, np.array(sorted(starts), np.int64)
+
+
+class Index:
+    """References in leaves. Rows that aren't finite are at no distance from anything and are left out."""
+
+    def __init__(self, ids: np.ndarray, labels: np.ndarray, rows: np.ndarray, leaf: int = LEAF):
+        own = np.flatnonzero(np.isfinite(rows).all(axis=1)) if len(rows) else np.zeros(0, np.int64)
+        order, self.starts = leaves(rows[own], leaf)
+        own = own[order]
+        self.ids, self.labels, self.r = ids[own], labels[own], np.ascontiguousarray(rows[own].T)
+        self.ends = np.append(self.starts[1:], len(own))
+        self.sizes = (self.r * self.r).sum(axis=0)
+        self.small = not self.r.size or float(np.abs(self.r).max()) < 1e100
+        if len(own):
+            self.low, self.high = np.minimum.reduceat(self.r, self.starts, axis=1), np.maximum.reduceat(self.r, self.starts, axis=1)
+
+    def __len__(self) -> int:
+        return len(self.ids)
+
+    def gaps(self, q: np.ndarray) -> np.ndarray:
+        """Squared distances of queries from leaves' boxes, in the fixed order of summation."""
+        out = np.zeros((len(q), len(self.starts)))
+        for i in range(len(self.r)):
+            own = q[:, i, None]
+            gap = np.maximum(np.maximum(self.low[i] - own, own - self.high[i]), 0.0)
+            gap *= gap
+            out += gap
+        return out
+
+    def nearest(self, q: np.ndarray, q_ids: np.ndarray | None, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(places, squared distances) of each row's k nearest, sorted, ties by id; place -1 where there are fewer.
+
+        q_ids: a reference of this id is left out, or None. A matrix product
+        bounds a tile's distances, and only pairs that may be among the k so far
+        are computed in the fixed order of summation.
+        """
+        place, d2 = np.full((len(q), k), -1), np.full((len(q), k), np.inf)
+        own = np.flatnonzero(np.isfinite(q).all(axis=1)) if len(q) and len(self) else np.zeros(0, np.int64)
+        if not len(own):
+            return place, d2
+        order, starts = leaves(q[own], TILE)
+        bounded = self.small and (not len(own) or float(np.abs(q[own]).max()) < 1e100)
+        for a, b in zip(starts, np.append(starts[1:], len(own)), strict=True):
+            rows = own[order[a:b]]
+            place[rows], d2[rows] = self.tile(q[rows], None if q_ids is None else q_ids[rows], k, bounded)
+        return place, d2
+
+    def tile(self, q: np.ndarray, q_ids: np.ndarray | None, k: int, bounded: bool) -> tuple[np.ndarray, np.ndarray]:
+        at, dist = np.full((len(q), k), -1), np.full((len(q), k), np.inf)
+        size, doubled, gap = (q * q).sum(axis=1), -2.0 * q, self.gaps(q)
+        first = gap.argmin(axis=1)
+        for leaf in np.unique(first):
+            self.look(leaf, np.flatnonzero(first == leaf), q, doubled, size, q_ids, k, bounded, at, dist)
+        gap[np.arange(len(q)), first] = np.inf
+        near = gap.min(axis=0)
+        for leaf in np.argsort(near, kind="stable"):
+            if near[leaf] > dist[:, -1].max():
+                break
+            if len(some := np.flatnonzero((gap[:, leaf] <= dist[:, -1]) & (gap[:, leaf] < np.inf))):
+                self.look(leaf, some, q, doubled, size, q_ids, k, bounded, at, dist)
+        return at, dist
+
+    def look(self, leaf: int, some: np.ndarray, q, doubled, size, q_ids, k: int, bounded: bool, at, dist) -> None:
+        """Better some queries' neighbours (at, dist) by what is in a leaf."""
+        a, b = self.starts[leaf], self.ends[leaf]
+        part, edge = self.r[:, a:b], dist[some, -1]
+        if bounded:
+            spare = k + (q_ids is not None)
+            sizes, own = self.sizes[a:b], size[some]
+            low = doubled[some] @ part  # the distance less |q|^2, and less its slack
+            low += sizes * (1.0 - SLACK)
+            if b - a > spare and np.isinf(edge).any():
+                reach = np.partition(low + sizes * (2.0 * SLACK), spare - 1, axis=1)[:, spare - 1]
+                edge = np.minimum(edge, reach + own * (1.0 + SLACK) + SLACK)
+            row, col = np.nonzero(low <= (edge - own * (1.0 - SLACK) + SLACK)[:, None])
+            if not len(row):
+                return
+            row = some[row]
+            value = exact(q, part, row, col)
+        else:
+            with np.errstate(over="ignore"):
+                every = distances(q[some], part)
+            row, col = np.nonzero(every <= edge[:, None])
+            value, row = every[row, col], some[row]
+        col = col + a
+        keep = (value < FAR) & (value <= dist[row, -1])
+        if q_ids is not None:
+            keep &= q_ids[row] != self.ids[col]
+        if not keep.any():
+            return
+        # what was best so far of the queries that change, and what may be better
+        row, col, value = row[keep], col[keep], value[keep]
+        changed = np.zeros(len(at), bool)
+        changed[row] = True
+        old = np.nonzero((at >= 0) & changed[:, None])
+        row = np.concatenate([old[0], row])
+        where, value = np.concatenate([at[old], col]), np.concatenate([dist[old], value])
+        by = np.lexsort((self.ids[where], value, row))
+        row, where, value = row[by], where[by], value[by]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        keep = rank < k
+        at[row[keep], rank[keep]], dist[row[keep], rank[keep]] = where[keep], value[keep]
 
 
 def exact(q: np.ndarray, r: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
@@ -131,22 +223,45 @@ def exact(q: np.ndarray, r: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.
     return out
 
 
-def packed(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(ids ascending, labels, one row a dimension) of references."""
-    pdf = pdf.sort_values("ref_idx", ignore_index=True)
-    vectors = np.array(pdf["vector"].tolist(), float) if len(pdf) else np.zeros((0, 0))
-    return pdf["ref_idx"].to_numpy(np.int64), pdf["label"].to_numpy(object), np.ascontiguousarray(vectors.T)
+def matrix(column) -> tuple[np.ndarray, np.ndarray]:
+    """(places of rows that have a vector, the vectors) of an Arrow list column; a null element is no number."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    there = np.flatnonzero(np.asarray(column.is_valid()))
+    lists = column.take(pa.array(there))
+    sizes = np.asarray(pc.list_value_length(lists))
+    if not len(there):
+        return there, np.zeros((0, 0))
+    if (sizes != sizes[0]).any():
+        raise ValueError("vectors of different lengths")
+    return there, lists.flatten().cast(pa.float64()).to_numpy(zero_copy_only=False).reshape(len(there), -1)
+
 
+def indexed(rows: pa.Table) -> Index:
+    """An index of references (ref_idx, vector, label)."""
+    there, vectors = matrix(rows.column("vector"))
+    return Index(rows.column("ref_idx").to_numpy()[there].astype(np.int64), np.array(rows.column("label").to_pylist(), object)[there], vectors)
 
-def table(q_ids: np.ndarray, place: np.ndarray, d2: np.ndarray, r_ids: np.ndarray, labels: np.ndarray) -> pd.DataFrame:
+
+def found_by(index: Index, queries, leave_out_self: bool, k: int) -> pa.RecordBatch:
+    """The nearest of queries (q_id, vector), a table or batch."""
+    there, q = matrix(queries.column("vector"))
+    q_ids = queries.column("q_id").to_numpy()[there].astype(np.int64)
+    place, d2 = index.nearest(q, q_ids if leave_out_self else None, k)
     row, rank = np.nonzero(place >= 0)
     at = place[row, rank]
-    return pd.DataFrame({"q_id": q_ids[row], "rank": (rank + 1).astype(np.int32), "ref_idx": r_ids[at], "label": labels[at], "d2": d2[row, rank]})
+    return pa.RecordBatch.from_arrays(
+        [pa.array(q_ids[row]), pa.array((rank + 1).astype(np.int32)), pa.array(index.ids[at]), pa.array(index.labels[at], pa.string()), pa.array(d2[row, rank])],
+        names=["q_id", "rank", "ref_idx", "label", "d2"],
+    )
+
+
+def meeting(leave_out_self: bool, k: int):
+    """The function of a cogroup: its queries among its references."""
 
+    def search(q: pa.Table, r: pa.Table) -> pa.Table:
+        return pa.Table.from_batches([found_by(indexed(r), q, leave_out_self, k)])
 
-def nothing() -> pd.DataFrame:
-    kinds = {"q_id": "int64", "rank": "int32", "ref_idx": "int64", "label": "object", "d2": "float64"}
-    return pd.DataFrame({c: pd.Series(dtype=t) for c, t in kinds.items()})
+    return search
 
 
 def own_columns(rows: DataFrame, names: list[str]) -> DataFrame:
@@ -169,36 +284,25 @@ def neighbours(queries: DataFrame, references: DataFrame, k: int = K, leave_out_
 
 
 def broadcast_search(queries: DataFrame, references: DataFrame, k: int, leave_out_self: bool) -> DataFrame:
-    sent = queries.sparkSession.sparkContext.broadcast(packed(references.select("ref_idx", "vector", "label").toPandas()))
+    spark = queries.sparkSession
+    sent = spark.sparkContext.broadcast(indexed(references.select("ref_idx", F.col("vector").cast("array<double>").alias("vector"), "label").toArrow()))
 
     def search(batches):
-        ids, labels, r = sent.value
-        for pdf in batches:
-            if len(pdf) and len(ids):
-                q, q_ids = np.array(pdf["vector"].tolist(), float), pdf["q_id"].to_numpy(np.int64)
-                yield table(q_ids, *nearest(q, q_ids if leave_out_self else None, r, ids, k), ids, labels)
+        for b in batches:
+            if b.num_rows:
+                yield found_by(sent.value, b, leave_out_self, k)
 
-    spark = queries.sparkSession
-    spread = queries.select("q_id", "vector").repartition(max(spark.sparkContext.defaultParallelism, 1), "q_id")
-    return spread.mapInPandas(search, FOUND)
+    spread = queries.select("q_id", F.col("vector").cast("array<double>").alias("vector")).repartition(max(spark.sparkContext.defaultParallelism, 1), "q_id")
+    return spread.mapInArrow(search, FOUND)
 
 
 def grid_search(queries: DataFrame, references: DataFrame, k: int, leave_out_self: bool, blocks: int, query_blocks: int | None = None) -> DataFrame:
     """Every block of queries with every block of references, then the best of each query's partial results."""
     across = query_blocks or max(1, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")) // max(1, blocks))
     queries, references = own_columns(queries, ["q_id", "vector"]), own_columns(references, ["ref_idx", "vector", "label"])
-    left = queries.select("q_id", "vector", F.pmod(F.xxhash64("q_id"), F.lit(across)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("rb"))
+    left = queries.select("q_id", "vector", F.pmod(F.xxhash64("q_id"), F.lit(across)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("rb"))
     right = references.select("ref_idx", "vector", "label", F.pmod(F.xxhash64("ref_idx"), F.lit(blocks)).cast("int").alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(across - 1))).alias("qb"))
-
-    def search(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(r):
-            return nothing()
-        ids, labels, vectors = packed(r)
-        q_ids = q["q_id"].to_numpy(np.int64)
-        return table(q_ids, *nearest(np.array(q["vector"].tolist(), float), q_ids if leave_out_self else None, vectors, ids, k), ids, labels)
-
-    left = left.withColumn("qb", F.col("qb").cast("int"))
-    part = left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInPandas(search, FOUND)
+    part = left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInArrow(meeting(leave_out_self, k), FOUND)
     return top_k(part.drop("rank"), k).select("q_id", "rank", "ref_idx", "label", "d2")
 
 
@@ -218,45 +322,18 @@ def bucketed(queries: DataFrame, references: DataFrame, k: int = K, leave_out_se
         return neighbours(queries, references, k, leave_out_self, most_bytes, block_rows)
     rows, size = size_of(references)
     if size <= most_bytes:
-        near = bucket_search(queries, references, k, leave_out_self)
-    else:
-        # large buckets are dealt into blocks; a query meets every block of its own bucket
-        salts = -(-rows // block_rows)
-        queries, references = own_columns(queries, ["q_id", "vector"]), own_columns(references, ["ref_idx", "vector", "label"])
-        left = queries.withColumn("b", bucket(F.col("vector"))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        right = references.withColumn("b", bucket(F.col("vector"))).withColumn("salt", F.pmod(F.xxhash64("ref_idx"), F.lit(salts)).cast("int"))
-
-        def search(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-            if not len(q) or not len(r):
-                return nothing()
-            ids, labels, vectors = packed(r)
-            q_ids = q["q_id"].to_numpy(np.int64)
-            return table(q_ids, *nearest(np.array(q["vector"].tolist(), float), q_ids if leave_out_self else None, vectors, ids, k), ids, labels)
-
-        part = left.groupBy("b", "salt").cogroup(right.groupBy("b", "salt")).applyInPandas(search, FOUND)
-        near = top_k(part.drop("rank"), k).select("q_id", "rank", "ref_idx", "label", "d2")
-    near = near.persist()
+        return neighbours(queries, references, k, leave_out_self, most_bytes, block_rows)  # boxes keep buckets apart already
+    # large buckets are dealt into blocks; a query meets every block of its own bucket
+    salts = -(-rows // block_rows)
+    own, others = own_columns(queries, ["q_id", "vector"]), own_columns(references, ["ref_idx", "vector", "label"])
+    left = own.withColumn("b", bucket(F.col("vector"))).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    right = others.withColumn("b", bucket(F.col("vector"))).withColumn("salt", F.pmod(F.xxhash64("ref_idx"), F.lit(salts)).cast("int"))
+    part = left.groupBy("b", "salt").cogroup(right.groupBy("b", "salt")).applyInArrow(meeting(leave_out_self, k), FOUND)
+    near = top_k(part.drop("rank"), k).select("q_id", "rank", "ref_idx", "label", "d2")
     sure = near.groupBy("q_id").agg(F.count("*").alias("n"), F.max("d2").alias("last")).filter(f"n = {k} and last < 1").select("q_id")
     sure = sure.join(queries.filter(F.coalesce(flagged(F.col("vector")), F.lit(False))).select("q_id"), "q_id", "left_semi")
     rest = queries.join(sure, "q_id", "left_anti")
-    return near.join(sure, "q_id", "left_semi").unionByName(neighbours(rest, references, k, leave_out_self, most_bytes, block_rows))
-
-
-def bucket_search(queries: DataFrame, references: DataFrame, k: int, leave_out_self: bool) -> DataFrame:
-    """Broadcast references by bucket; each query is searched in its own."""
-    got = references.select("ref_idx", "vector", "label", bucket(F.col("vector")).alias("b")).toPandas()
-    sent = queries.sparkSession.sparkContext.broadcast({int(b): packed(g) for b, g in got.groupby("b")})
-
-    def search(batches):
-        for pdf in batches:
-            for b, part in pdf.groupby("b"):
-                if int(b) in sent.value:
-                    ids, labels, r = sent.value[int(b)]
-                    q_ids = part["q_id"].to_numpy(np.int64)
-                    yield table(q_ids, *nearest(np.array(part["vector"].tolist(), float), q_ids if leave_out_self else None, r, ids, k), ids, labels)
-
-    spread = queries.select("q_id", "vector", bucket(F.col("vector")).alias("b")).repartition(queries.sparkSession.sparkContext.defaultParallelism, "q_id")
-    return spread.mapInPandas(search, FOUND)
+    return near.join(sure, "q_id", "left_semi").unionByName(grid_search(rest, references, k, leave_out_self, salts))
 
 
 def vote(queries: DataFrame, found: DataFrame, k: int = K, threshold: float = THRESHOLD, fraud: str = "fraud") -> DataFrame:
@@ -270,6 +347,16 @@ def vote(queries: DataFrame, found: DataFrame, k: int = K, threshold: float = TH
     )
 
 
+def sweep(queries: DataFrame, found: DataFrame, ways: list[tuple[int, float]], fraud: str = "fraud") -> DataFrame:
+    """(k, threshold, approved_n, denied_n) of several (k, threshold), in one pass over the neighbours."""
+    sizes = sorted({k for k, _ in ways})
+    votes = found.groupBy("q_id").agg(*[F.count_if((F.col("label") == fraud) & (F.col("rank") <= k)).alias(f"n{k}") for k in sizes])
+    every = queries.select("q_id").join(votes, "q_id", "left").select(*[F.coalesce(f"n{k}", F.lit(0).cast("long")).alias(f"n{k}") for k in sizes])
+    approved = [F.count_if(F.col(f"n{k}") / F.lit(float(k)) < F.lit(t)) for k, t in ways]
+    row = every.agg(F.array(*[F.struct(F.lit(k).alias("k"), F.lit(t).alias("threshold"), n.alias("approved_n"), (F.count("*") - n).alias("denied_n")) for (k, t), n in zip(ways, approved, strict=True)]).alias("w"))
+    return row.select(F.explode("w").alias("w")).select("w.*")
+
+
 def weighted_vote(found: DataFrame, fraud: str = "fraud", least: float = 1e-9) -> DataFrame:
     """(q_id, weighted_score): neighbours weighed by the inverse of their distance."""
     w = F.lit(1.0) / F.greatest(F.sqrt("d2"), F.lit(least))

@@ -33,6 +33,29 @@ def total(estimate: DataFrame) -> DataFrame:
     return estimate.agg(F.sum("duration_s").alias("total_duration_s"), F.sum("stage_reqs").alias("total_requests"))
 
 
+def table_lines(estimate: DataFrame, start_rate: int) -> DataFrame:
+    """(at, line) of the plan as a framed table, with a row of totals."""
+    names = ["stage", "duration", "from", "to", "stage_reqs", "cumulative"]
+    text = lambda c: F.col(c).cast("string")
+    rows = estimate.select(
+        F.col("stage_no").cast("long").alias("at"), text("stage_no").alias(names[0]), F.concat(text("duration_s"), F.lit("s")).alias(names[1]), text("from_rate").alias(names[2]),
+        text("target").alias(names[3]), text("stage_reqs").alias(names[4]), text("cumulative").alias(names[5]),
+    )
+    last = estimate.agg(F.sum("duration_s").alias("d"), F.max_by("target", "stage_no").alias("t"), F.sum("stage_reqs").alias("n"), F.max("stage_no").cast("long").alias("at"))
+    totals = last.select(
+        (F.col("at") + 2).alias("at"), F.lit("total").alias(names[0]), F.concat(text("d"), F.lit("s")).alias(names[1]), F.lit(str(start_rate)).alias(names[2]),
+        text("t").alias(names[3]), F.lit("").alias(names[4]), text("n").alias(names[5]),
+    )
+    every = rows.union(totals)
+    wide = widths(every.select(*names)).select(F.struct(*names).alias("w"))  # one row, of six numbers
+    line = lambda left, mid, right: F.concat(F.lit(left), F.concat_ws(mid, *[F.repeat(F.lit("\u2500"), F.col(f"w.{c}") + 2) for c in names]), F.lit(right))
+    row = lambda cells: F.concat(F.lit("\u2502 "), F.concat_ws(" \u2502 ", *cells), F.lit(" \u2502"))
+    body = every.crossJoin(F.broadcast(wide)).select("at", row([F.lpad(F.col(c), F.col(f"w.{c}"), " ") for c in names]).alias("line"))
+    end = wide.crossJoin(F.broadcast(last.select("at")))
+    frame = [(F.lit(-2), line("\u250c", "\u252c", "\u2510")), (F.lit(-1), row([F.rpad(F.lit(c), F.col(f"w.{c}"), " ") for c in names])), (F.lit(0), line("\u251c", "\u253c", "\u2524")), (F.col("at") + 1, line("\u251c", "\u253c", "\u2524")), (F.col("at") + 3, line("\u2514", "\u2534", "\u2518"))]
+    return body.union(end.select(F.explode(F.array(*[F.struct(a.cast("long").alias("at"), x.alias("line")) for a, x in frame])).alias("f")).select("f.*"))
+
+
 def widths(rows: DataFrame) -> DataFrame:
     """One row of each column's greatest printed width, its name included."""
     return rows.agg(*[F.greatest(F.max(F.length(F.col(c).cast("string"))), F.lit(len(c))).alias(c) for c in rows.columns])

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quintet.functions.scalars import ISO
+
 
 def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """Each key's last row by order; the rest are superseded."""
@@ -13,6 +15,11 @@ def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return rows.withColumn("__n", F.row_number().over(last)).filter("__n = 1").drop("__n")
 
 
+def stamped(rows: DataFrame, column: str = "timestamp") -> DataFrame:
+    """rows with the time of the query, as ISO-8601 UTC text of seconds."""
+    return rows.withColumn(column, F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), ISO))
+
+
 def upsert(registry: DataFrame, new: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """registry with new's rows in place of those of equal keys; of several new ones the latest by timestamp."""
     keys = keys or ["participant", "submission"]

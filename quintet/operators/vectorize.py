@@ -56,6 +56,10 @@ def vectorize(transactions: DataFrame, scale: Scale | None = None, risk: dict[st
 
 
 def mcc_risk_join(rows: DataFrame, key: str, risk: DataFrame, default: float = DEFAULT_RISK) -> DataFrame:
-    """rows with mcc_risk from a table (code, risk): a left join that keeps every row, for maps that are tables."""
-    table = risk.groupBy(F.col("code").alias("__code")).agg(F.first("risk").alias("__risk"))
+    """rows with mcc_risk from a table (code, risk): a left join that keeps every row, for maps that are tables.
+
+    Of a code that comes again the first counts, by the column `at` if the table has one.
+    """
+    first = F.min_by("risk", "at") if "at" in risk.columns else F.first("risk")
+    table = risk.groupBy(F.col("code").alias("__code")).agg(first.alias("__risk"))
     return rows.join(table, rows[key] == table["__code"], "left").withColumn("mcc_risk", F.coalesce("__risk", F.lit(default))).drop("__code", "__risk")

@@ -15,6 +15,7 @@ from quintet.operators import evaluate, generate, knn, load, registry, vectorize
 from quintet.plans import events
 from quintet.plans.events import table
 from quintet.schema import FIELDS
+from quintet.session import cut
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -191,7 +192,7 @@ SELECT q_id, CAST(len(list_filter(five, lambda x: x.label = 'error')) AS BIGINT)
 
 def event_search(spark, sf_dir):
     """(queries, references) of events; an error event is fraud, and its type is in no feature."""
-    rows = feature_rows(spark, sf_dir, {}).persist()
+    rows = cut(feature_rows(spark, sf_dir, {}))
     return rows.select(F.col("idx").alias("q_id"), "vector"), rows.select(F.col("idx").alias("ref_idx"), "vector", F.when(F.col("event_type") == "error", "fraud").otherwise("legit").alias("label"))
 
 
@@ -307,7 +308,8 @@ def q19_upsert_latest(spark, sf_dir):
 
 
 @query("""
-SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CAST(json_extract(props, '$.k') AS BIGINT) + 1 AS added, true AS has_k, 'number' AS kind FROM events
+SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CAST(json_extract(props, '$.k') AS BIGINT) + 1 AS added, json_exists(props, '$.k') AS has_k,
+  CASE WHEN json_type(props, '$.k') IN ('UBIGINT', 'BIGINT', 'DOUBLE') THEN 'number' ELSE lower(json_type(props, '$.k')) END AS kind FROM events
 """)
 def q20_json(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select("event_id", jsontree.parse("props", "map<string,bigint>").alias("m"), jsontree.parse("props").alias("v"))
@@ -322,20 +324,20 @@ SWEEP = [(3, "0.6"), (5, "0.6"), (3, "0.67"), (5, "0.67")]
 @query(PAIRS_SQL + " UNION ALL ".join(f"SELECT CAST({k} AS INT) AS k, CAST({t} AS DOUBLE) AS threshold, count(*) FILTER (approved) AS approved_n, count(*) FILTER (NOT approved) AS denied_n FROM ({vote_sql(k, t)})" for k, t in SWEEP))
 def q22_threshold_sweep(spark, sf_dir):
     q, r = embedded(spark, sf_dir)
-    found = knn.neighbours(q, r, 5, True).persist()
-    out = None
-    for k, t in SWEEP:
-        votes = knn.vote(q, found.filter(F.col("rank") <= k), k, float(t))
-        row = votes.agg(F.count_if("approved").alias("approved_n"), F.count_if(~F.col("approved")).alias("denied_n")).select(F.lit(k).alias("k"), F.lit(float(t)).alias("threshold"), "approved_n", "denied_n")
-        out = row if out is None else out.union(row)
-    return out
+    return knn.sweep(q, knn.neighbours(q, r, 5, True), [(k, float(t)) for k, t in SWEEP])
+
+
+#: Fixed values of the workload: payloads, their share of fraud, and that of references.
+PAYLOADS, PAYLOAD_RATIO, REFERENCE_RATIO = 54_100, 0.47, 0.35
+#: References of the worked distances; the whole workload has 3,000,000, which one task draws in minutes.
+REFERENCES = 100_000
 
 
 @query()
 def q23_generator(spark, sf_dir):
-    """References and payloads of the exact generator, labelled; no SQL draws this stream."""
-    made = generate.exact_transactions(spark, 500, 0.35)
-    return generate.labelled(made, generate.exact_references(spark, 500, 0.35)).select("idx", "id", "expected_approved", "expected_fraud_score")
+    """References and payloads of the exact generator, drawn once each and labelled; q41 has the SQL of its numbers."""
+    made, references = cut(generate.exact_transactions(spark, PAYLOADS, PAYLOAD_RATIO)), cut(generate.exact_references(spark, REFERENCES, REFERENCE_RATIO))
+    return generate.labelled(made, references).select("idx", "id", "expected_approved", "expected_fraud_score")
 
 
 @query(EVENT_VOTE_SQL.replace("a.event_id <> b.event_id", "true").replace("SELECT q_id,", "SELECT CAST(q_id AS VARCHAR) AS id,", 1).replace("CAST(len(list_filter(five, lambda x: x.label = 'error')) AS BIGINT) AS fraud_n,", ""))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 #: Timestamps are UTC; division by zero is an error and not NULL.
 SETTINGS = {
@@ -19,3 +22,21 @@ def session(app: str = "quintet", master: str | None = None, **more: str) -> Spa
     if master:
         builder = builder.master(master)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder in the one that driver and executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="quintet-")
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df as a table that is written once, below the shared folder."""
+    folder = shared_folder(df.sparkSession, "table")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

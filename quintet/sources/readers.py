@@ -81,6 +81,13 @@ def participants(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def registry(spark: SparkSession, path: str, result: str) -> DataFrame:
+    """(participant, submission, result's columns) of a registry file; result is their schema."""
+    maps = whole(spark, path).select(parsed(F.col("value"), f"map<string,map<string,struct<{result}>>>").alias("m"))
+    people = maps.select(F.explode("m").alias("participant", "s"))
+    return people.select("participant", F.explode("s").alias("submission", "r")).select("participant", "submission", "r.*")
+
+
 def runner_config(spark: SparkSession, path: str) -> DataFrame:
     """One row; max_memory_mb is text in the file and max_cpu a number."""
     schema = (

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+import uuid
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quintet.functions.scalars import ISO, json_array, json_number
@@ -16,11 +20,12 @@ def text(x) -> Column:
 
 
 def member(name: str, value: Column) -> Column:
-    return F.concat(F.lit(f'"{name}":'), value)
+    return F.concat(F.lit(f'"{name}":'), F.coalesce(value, F.lit("null")))
 
 
 def object_of(*members: Column) -> Column:
-    return F.concat(F.lit("{"), F.concat_ws(",", *members), F.lit("}"))
+    parts = [x for m in members for x in (F.lit(","), m)][1:]
+    return F.concat(F.lit("{"), *parts, F.lit("}"))
 
 
 def moment(x) -> Column:
@@ -61,6 +66,15 @@ def write_array(rows: DataFrame, json: Column, order: str, path: str) -> None:
     one.select(F.concat(F.lit("["), F.array_join("all.v", ","), F.lit("]")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
+def write_test_data(entries: DataFrame, stats: DataFrame, checksum: str, path: str) -> None:
+    """The labelled test file: the references' checksum, the row of stats, and entries (idx, request, expected …) in order, as one value."""
+    one = object_of(member("request", request_json()), member("expected_approved", F.col("expected_approved").cast("string")), member("expected_fraud_score", json_number("expected_fraud_score")))
+    listed = entries.select(F.col("idx").alias("at"), one.alias("v")).agg(F.sort_array(F.collect_list(F.struct("at", "v"))).alias("all"))
+    told = stats.select(F.to_json(F.struct(*stats.columns)).alias("stats"))
+    whole = object_of(member("references_checksum_sha256", F.lit(json.dumps(checksum))), member("stats", F.col("stats")), member("entries", F.concat(F.lit("["), F.array_join("all.v", ","), F.lit("]"))))
+    listed.crossJoin(F.broadcast(told)).select(whole.alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
 def references_parquet(references: DataFrame, path: str) -> None:
     """References for repeated use: columns, sorted by bucket so that a bucket's rows are read alone."""
     from quintet.operators.knn import bucket
@@ -77,11 +91,49 @@ def write_report(report: DataFrame, path: str) -> None:
     report.select(pretty(F.col("report")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
+#: Fixed value of the workload: the line's format.
+STATS_LINE = "Stats: total=%d fraud=%d (%.1f%%) legit=%d (%.1f%%) edge=%d (%.1f%%)"
+
+
 def stats_line(stats: DataFrame) -> DataFrame:
-    """One line that tells the label counts."""
-    return stats.select(
-        F.format_string(
-            "Stats: total=%d fraud=%d (%.1f%%) legit=%d (%.1f%%) edge=%d (%.1f%%)",
-            "total", "fraud_count", F.col("fraud_rate") * 100.0, "legit_count", F.col("legit_rate") * 100.0, "edge_case_count", F.col("edge_case_rate") * 100.0,
-        ).alias("line")
-    )
+    """One line that tells the label counts, with shares of the counts themselves."""
+
+    @F.pandas_udf("string")
+    def line(total: pd.Series, fraud: pd.Series, legit: pd.Series, edge: pd.Series) -> pd.Series:
+        share = lambda n, of: 100.0 * n / of if of else float("nan")
+        rows = zip(*(c.astype(int).tolist() for c in (total, fraud, legit, edge)), strict=True)
+        return pd.Series([STATS_LINE % (t, f, share(f, t), g, share(g, t), e, share(e, t)) for t, f, g, e in rows], dtype=object)
+
+    return stats.select(line("total", "fraud_count", "legit_count", "edge_case_count").alias("line"))
+
+
+def registry_json(registry: DataFrame, indent: int = 4) -> str:
+    """{participant: {submission: result}} as indented JSON; a registry is small by its nature."""
+    rows = registry.orderBy("participant", "submission").select("participant", "submission", F.to_json(F.struct(*[c for c in registry.columns if c not in ("participant", "submission")])).alias("r"))
+    out: dict[str, dict] = {}
+    for r in rows.toLocalIterator():
+        out.setdefault(r["participant"], {})[r["submission"]] = json.loads(r["r"])
+    return json.dumps(out, indent=indent, ensure_ascii=False)
+
+
+def replace_file(spark: SparkSession, path: str, text: str) -> None:
+    """A file with this text, in place of one that may be there: written beside it and renamed over it."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    to = jvm.org.apache.hadoop.fs.Path(path)
+    fs = to.getFileSystem(conf)
+    to = fs.makeQualified(to)
+    part = jvm.org.apache.hadoop.fs.Path(to.getParent(), f".{to.getName()}.{uuid.uuid4().hex}")
+    out = fs.create(part, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    kind = jvm.org.apache.hadoop.fs.Options.Rename
+    how = spark.sparkContext._gateway.new_array(kind, 1)
+    how[0] = kind.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(to.toUri(), conf).rename(part, to, how)
+
+
+def write_registry(registry: DataFrame, path: str) -> None:
+    """The registry as one JSON file that is replaced whole or not at all."""
+    replace_file(registry.sparkSession, path, registry_json(registry))

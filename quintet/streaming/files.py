@@ -2,28 +2,17 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
-
-def shared(spark, kind: str) -> str:
-    """A new folder in the one that driver and executors share."""
-    import tempfile
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="quintet-")
-    return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+from quintet.session import shared_folder
 
 
 def through_stream(rows: DataFrame, work: Callable[[DataFrame], DataFrame], files_at_once: int = 4) -> DataFrame:
     """rows (value string) written as files, read as a stream, worked on, and what it wrote."""
     spark = rows.sparkSession
-    folder = shared(spark, "stream")
+    folder = shared_folder(spark, "stream")
     rows.write.text(f"{folder}/in")
     stream = spark.readStream.schema("value string").option("maxFilesPerTrigger", files_at_once).text(f"{folder}/in")
     running = work(stream).writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/out")

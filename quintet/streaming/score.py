@@ -8,7 +8,7 @@ references are too large to broadcast, each micro-batch runs the batch operator.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,20 +27,21 @@ def score(transactions: DataFrame, references: DataFrame, k: int = K, threshold:
     if size > most_bytes:
         raise ValueError(f"references take {size} bytes; score each micro-batch with score_batches")
     spark = references.sparkSession
-    sent = spark.sparkContext.broadcast(knn.packed(references.select("ref_idx", "vector", "label").toPandas()))
+    sent = spark.sparkContext.broadcast(knn.indexed(references.select("ref_idx", F.col("vector").cast("array<double>").alias("vector"), "label").toArrow()))
 
     def run(batches):
-        ids, labels, r = sent.value
-        fraud = np.append(labels == "fraud", False)
-        for pdf in batches:
-            if not len(pdf):
+        index = sent.value
+        fraud = np.append(index.labels == "fraud", False)
+        for b in batches:
+            if not b.num_rows:
                 continue
-            q = np.array(pdf["vector"].tolist(), float)
-            place = knn.nearest(q, None, r, ids, k)[0] if len(ids) else np.full((len(q), k), -1)
-            share = np.round(fraud[place].sum(axis=1) / k * 10000.0) / 10000.0
-            yield pd.DataFrame({"id": pdf["id"], "fraud_score": share, "approved": fraud[place].sum(axis=1) / k < threshold})
+            there, q = knn.matrix(b.column("vector"))
+            place = np.full((b.num_rows, k), -1)
+            place[there] = index.nearest(q, None, k)[0]
+            votes = fraud[place].sum(axis=1)
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(np.round(votes / k * 10000.0) / 10000.0), pa.array(votes / k < threshold)], names=["id", "fraud_score", "approved"])
 
-    return vectorize.vectorize(transactions, scale, risk).mapInPandas(run, "id string, fraud_score double, approved boolean")
+    return vectorize.vectorize(transactions, scale, risk).mapInArrow(run, "id string, fraud_score double, approved boolean")
 
 
 def score_batches(stream: DataFrame, references: DataFrame, write, checkpoint: str, **options):

@@ -92,6 +92,7 @@ def test_all_ways_agree_with_ties_and_few_references(spark):
             got = sorted((r["q_id"], r["rank"], r["ref_idx"], r["label"], r["d2"]) for r in found.collect())
             want = got if want is None else want
             assert got == want
+        assert [r["approved_n"] + r["denied_n"] for r in knn.sweep(queries, knn.neighbours(queries, some, 5, True), [(3, 0.6), (5, 0.67)]).collect()] == [60, 60]
         votes = {r["q_id"]: r["fraud_score"] for r in knn.vote(queries, knn.neighbours(queries, some, 5, True)).collect()}
         assert len(votes) == 60
         if not n:
@@ -188,6 +189,59 @@ def test_registry(spark):
     assert sorted(tuple(r) for r in registry.resolve(people, asked).select("submission", "repo").collect()) == [("p", "repo1"), ("q", "repo2")]
 
 
+def test_load_table(spark):
+    stages, start = load.stages_of(spark, "startRate: 1,\n stages: [ { duration: '120s', target: 900 } ]")
+    lines = [r["line"] for r in load.table_lines(load.estimated(stages, start), start).orderBy("at").collect()]
+    assert lines[1] == "│ stage │ duration │ from │ to  │ stage_reqs │ cumulative │"
+    assert lines[3] == "│     1 │     120s │    1 │ 900 │      54060 │      54060 │"
+    assert lines[5] == "│ total │     120s │    1 │ 900 │            │      54060 │"
+    assert lines[0][0] + lines[2][0] + lines[4][0] + lines[6][0] == "┌├├└" and len({len(x) for x in lines}) == 1
+
+
+def test_stats_line_takes_counts(spark):
+    stats = spark.createDataFrame([(100_000, 12_345, 87_655, 0.1235, 0.8766, 0, 0.0)], "total long, fraud_count long, legit_count long, fraud_rate double, legit_rate double, edge_case_count long, edge_case_rate double")
+    assert sinks.stats_line(stats).first()["line"] == "Stats: total=100000 fraud=12345 (12.3%) legit=87655 (87.7%) edge=0 (0.0%)"
+
+
+def test_registry_file_is_replaced(spark, tmp_path):
+    path, schema = f"file://{tmp_path}/r.json", "participant string, submission string, score double, timestamp string"
+    one = spark.createDataFrame([("ann", "x", 1.0, "2026-01-01T00:00:00Z"), ("ann", "é", None, "t")], schema)
+    sinks.write_registry(one, path)
+    text = (tmp_path / "r.json").read_text()
+    assert list(json.loads(text)["ann"]) == ["x", "é"] and text.startswith('{\n    "ann"')
+    sinks.write_registry(registry.stamped(one.filter("submission = 'x'")), path)
+    back = readers.registry(spark, path, "score double, timestamp string").collect()
+    assert len(back) == 1 and len(back[0]["timestamp"]) == 20 and back[0]["timestamp"] > "2026"
+    assert [p for p in os.listdir(tmp_path) if not p.endswith(".crc")] == ["r.json"]
+
+
+def test_first_of_equal_codes_counts(spark):
+    risk = spark.createDataFrame([(1, "a", 0.9), (0, "a", 0.1)], "at int, code string, risk double")
+    assert vectorize.mcc_risk_join(spark.createDataFrame([("a",), ("b",)], "m string"), "m", risk).select("m", "mcc_risk").orderBy("m").collect() == [("a", 0.1), ("b", 0.5)]
+
+
+def test_leaves_lose_no_neighbour(spark, monkeypatch):
+    monkeypatch.setattr(knn, "LEAF", 8)
+    monkeypatch.setattr(knn, "TILE", 5)
+    r = np.random.default_rng(9)
+    for trial in range(60):
+        n, dims, k = int(r.integers(0, 200)), int(r.integers(1, 6)), int(r.integers(1, 7))
+        rows = r.integers(0, 4, (n, dims)) / 4 if trial % 2 else r.normal(0, 10.0 ** r.integers(-3, 4), (n, dims))
+        q = np.concatenate([rows[: n // 3], r.normal(0, 1, (10, dims))])
+        if trial % 5 == 0 and n > 3:
+            rows[0, 0], rows[1, 0], q[0, 0] = np.nan, np.inf, 1e200
+        ids = r.permutation(n) * 3
+        q_ids = r.integers(0, 3 * n + 1, len(q)) if trial % 3 else None
+        index = knn.Index(ids, np.array(["x"] * n, object), rows, 8)
+        place, d2 = index.nearest(q, q_ids, k)
+        for i, v in enumerate(q):
+            with np.errstate(invalid="ignore", over="ignore"):
+                every = knn.distances(v[None], np.ascontiguousarray(rows.T))[0] if n else np.zeros(0)
+            want = sorted((d, j) for d, j in zip(every, ids, strict=True) if d < knn.FAR and (q_ids is None or j != q_ids[i]))[:k]
+            got = [(d, index.ids[p]) for p, d in zip(place[i], d2[i], strict=True) if p >= 0]
+            assert got == want, trial
+
+
 def test_files_round_trip(spark, tmp_path, payloads, references):
     sinks.write_array(payloads, sinks.request_json(), "idx", str(tmp_path / "payloads"))
     name = next(p for p in os.listdir(tmp_path / "payloads") if p.startswith("part"))

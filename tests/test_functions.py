@@ -70,6 +70,27 @@ def test_json_trees(spark):
     assert value(spark, jsontree.finite(F.lit(float("nan")))) is None
 
 
+def test_json_numbers_and_depth(spark):
+    for x, text in [(1.0, "1"), (-0.0, "0"), (0.1, "0.1"), (1 / 3, "0.33333333333333331"), (0.1 + 0.2, "0.3"), (1e20, "1e+20"), (2147483648.0, "2147483648"), (5e-324, "4.94065645841247e-324"), (float("nan"), "null"), (float("-inf"), "null")]:
+        assert value(spark, jsontree.number_text(F.lit(x))) == text
+    assert value(spark, jsontree.number_text(F.lit(None).cast("double"))) is None
+    for depth, there in ((1000, True), (1001, False)):
+        frame = spark.createDataFrame([("[" * depth + "]" * depth,)], "t string")
+        assert frame.select(jsontree.parse("t").isNotNull().alias("x")).first()["x"] is there
+
+
+def test_minify_takes_long_strings(spark):
+    text = '{"a":"' + '\\"' * 200_000 + '"}'
+    frame = spark.createDataFrame([(text + "  // c",), (None,)], "t string")
+    assert [r["x"] for r in frame.select(jsontree.minify("t").alias("x")).collect()] == [text, None]
+
+
+def test_bits(spark):
+    assert value(spark, scalars.xored(F.lit(12), F.lit(10))) == 6
+    assert value(spark, scalars.shifted_left(F.lit(1 << 31), 1)) == 0
+    assert value(spark, scalars.shifted_right(F.lit(12), 2)) == 3
+
+
 def test_minify_and_compare(spark):
     assert value(spark, jsontree.minify(F.lit('{ "a" : "x // y /* z */" , // c\n "b": [1, 2] /* d */ }'))) == '{"a":"x // y /* z */","b":[1,2]}'
     same = lambda a, b, **k: value(spark, jsontree.compare(F.lit(a), F.lit(b), **k))
