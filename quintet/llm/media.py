@@ -2,7 +2,9 @@
 
 A text's UTF-8 bytes, filled with spaces to a positive multiple of `align`,
 are the grey samples of images `align` pixels wide; a text beyond one image's
-16,384 rows goes on in further images, back to back. The bytes are stored as a
+16,384 rows goes on in further images, back to back. An image is stored with
+prefix codes, back-references, the subtract-green transform and, where they
+take less, a palette or a predictor. The bytes are stored as a
 column, decoded from it again by quintet.llm.webp, and everything else is taken
 from the decoded pixels. Row by row, so nothing is shuffled and memory is
 bounded by one text.
@@ -38,9 +40,8 @@ READ = T.StructType([
 
 def images(payload: bytes, align: int) -> bytes:
     """The payload as grey images, back to back."""
-    grey = np.frombuffer(payload, np.uint8).astype(np.uint32).reshape(-1, align)
-    grey = grey * np.uint32(0x010101) | np.uint32(webp.ALPHA)
-    return b"".join(webp.encode(grey[at : at + webp.MOST], green=True) for at in range(0, len(grey), webp.MOST))
+    grey = np.frombuffer(payload, np.uint8).reshape(-1, align)
+    return b"".join(webp.encode_grey(grey[at : at + webp.MOST]) for at in range(0, len(grey), webp.MOST))
 
 
 def samples(media: bytes) -> np.ndarray:

@@ -2,13 +2,18 @@
 
 decode() handles all of the format: simple and normal prefix codes, meta
 prefix codes, back-references, the colour cache, and the predictor,
-cross-colour, subtract-green and colour-indexing transforms. Images whose only
-varying symbols are green literals take a vectorised way: the length of the
-code that would start at every bit is looked up, steps are doubled three times
-and only each eighth symbol is walked to.
+cross-colour, subtract-green and colour-indexing transforms. Images in which
+only green varies, as literals and back-references, take a vectorised way: the
+length of the symbol that would start at every bit is looked up, steps are
+doubled three times and only each eighth symbol is walked to; copies are then
+made one after another. Predictors that are the same all over an image and take
+a pixel's left or upper neighbour are inverted by running sums. QUICK = False
+turns both off, which leaves the plain decoder, pixel by pixel.
 
 encode() writes literals under one prefix code a channel, after the transforms
 asked for; with cache_bits or copies it also uses the colour cache and
+back-references, pixel by pixel. encode_grey() is for bytes: it picks a palette
+or a predictor by what each would take and writes runs and repeated lines as
 back-references. Pixels are uint32 ARGB arrays of shape (height, width).
 """
 
@@ -33,6 +38,8 @@ NEAR = (
     (-7, 4), (8, 1), (8, 2), (6, 6), (-6, 6), (8, 3), (5, 7), (-5, 7), (7, 5), (-7, 5), (8, 4), (6, 7), (-6, 7), (7, 6), (-7, 6), (8, 5), (7, 7), (-7, 7), (8, 6), (8, 7),
 )
 ALPHA = 0xFF000000
+#: Whether decoding takes the vectorised ways where it can.
+QUICK = True
 #: Longest code that encode() makes for pixels; the format allows 15.
 LONGEST = 12
 
@@ -157,26 +164,43 @@ def halved(n: int, bits: int) -> int:
     return n + (1 << bits) - 1 >> bits
 
 
-def walk(raw: np.ndarray, at: int, n: int, code: Code) -> tuple[np.ndarray, int]:
-    """n symbols of one code from bit `at`; the bit behind them. Segments bound the memory."""
-    out, segment = [], 1 << 13
-    while n:
-        first = at >> 3
+EXTRA_OF = np.array([max(0, p - 2 >> 1) for p in range(40)], np.int64)
+
+
+def walk(bits: Bits, total: int, width: int, green: Code, far: Code) -> np.ndarray:
+    """Green values of `total` pixels, of literals and copies; the reader stands behind them. Segments bound the memory."""
+    raw, segment, margin = np.frombuffer(bits.raw, np.uint8), 1 << 13, 12
+    out, done = np.empty(total, np.int32), 0
+    copies = green.only is None and green.used[-1] >= 256
+    while done < total:
+        first = bits.at >> 3
         size = min(segment, len(raw) - first)
         if size <= 0:
             raise ValueError("the image data end early")
-        part = np.zeros(size + 2, np.int64)
-        own = raw[first : first + size + 2]
+        part = np.zeros(size + margin + 2, np.int64)
+        own = raw[first : first + size + margin + 2]
         part[: len(own)] = own
         stop = 8 * size
-        window = ((part[:-2] | part[1:-1] << 8 | part[2:] << 16)[:, None] >> np.arange(8)).ravel()
-        window &= (1 << code.depth) - 1
-        step1 = np.arange(stop + 16)  # places behind the segment lead to themselves
-        step1[:stop] += code.lengths.take(window)
+        windows = ((part[:-2] | part[1:-1] << 8 | part[2:] << 16)[:, None] >> np.arange(8)).ravel()
+        window = windows[:stop] & (1 << green.depth) - 1
+        ahead = green.lengths.take(window)
+        if copies:  # a copy is its length's extra bits, a distance symbol and that one's extra bits longer
+            symbols = green.symbols.take(window)
+            some = np.flatnonzero(symbols >= 256)
+            place = some + ahead[some]
+            place += EXTRA_OF[symbols[some] - 256]
+            if far.only is None:
+                wide = windows.take(place) & (1 << far.depth) - 1
+                place += far.lengths.take(wide) + EXTRA_OF[far.symbols.take(wide)]
+            else:
+                place += EXTRA_OF[far.only]
+            ahead[some] = place - some
+        step1 = np.arange(stop + 64)  # places behind the segment lead to themselves
+        step1[:stop] += ahead
         step2 = step1.take(step1)
         step4 = step2.take(step2)
         step8 = memoryview(step4.take(step4))
-        p, eighths = at - 8 * first, []
+        p, eighths = bits.at - 8 * first, []
         while p < stop:
             eighths.append(p)
             p = step8[p]
@@ -184,15 +208,38 @@ def walk(raw: np.ndarray, at: int, n: int, code: Code) -> tuple[np.ndarray, int]
         all_p[0] = eighths
         for k in range(1, 8):
             step1.take(all_p[k - 1], out=all_p[k])
-        all_p = all_p.T
-        all_p = all_p.ravel()
-        all_p = all_p[all_p < stop][:n]
-        out.append(code.symbols.take(window.take(all_p)))
-        n -= len(all_p)
-        at = 8 * first + int(step1[all_p[-1]])
-    if at > 8 * len(raw):
+        all_p = all_p.T.ravel()
+        all_p = all_p[all_p < stop]
+        found = green.symbols.take(window.take(all_p))
+        at = 0
+        for i in np.flatnonzero(found >= 256).tolist() if copies else ():
+            n = min(i - at, total - done)
+            out[done : done + n] = found[at : at + n]
+            done, at = done + n, at + n
+            if done == total:
+                break
+            bits.at = 8 * first + int(all_p[i]) + int(green.lengths[window[all_p[i]]])
+            length = amount(int(found[i]) - 256, bits)
+            away = distance(amount(far.read(bits), bits), width)
+            if away > done or done + length > total:
+                raise ValueError("a back-reference leaves the image")
+            out[done : done + length] = out[done - away : done - away + length] if away >= length else np.resize(out[done - away : done], length)
+            done, at = done + length, i + 1
+        n = min(len(found) - at, total - done)
+        out[done : done + n] = found[at : at + n]
+        done, at = done + n, at + n
+        bits.at = 8 * first + int(step1[all_p[at - 1]])
+    if bits.at > 8 * len(raw):
         raise ValueError("the image data end early")
-    return np.concatenate(out), at
+    return out
+
+
+def distance(value: int, width: int) -> int:
+    """Pixels back that a distance value stands for."""
+    if value > 120:
+        return value - 120
+    x, y = NEAR[value - 1]
+    return max(1, x + y * width)
 
 
 def pixels_of(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
@@ -209,13 +256,12 @@ def pixels_of(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
     sizes = (256 + 24 + (1 << cache_bits if cache_bits else 0), 256, 256, 256, 40)
     codes = [[read_code(bits, size) for size in sizes] for _ in range(n_groups)]
     total = width * height
-    green, red, blue, alpha, _ = codes[0]
-    if n_groups == 1 and not cache_bits and red.only is not None and blue.only is not None and alpha.only is not None and green.used[-1] < 256:
+    green, red, blue, alpha, far = codes[0]
+    if QUICK and n_groups == 1 and not cache_bits and red.only is not None and blue.only is not None and alpha.only is not None and (green.only is None or green.only < 256):
         rest = alpha.only << 24 | red.only << 16 | blue.only
         if green.only is not None:
             return np.full(total, rest | green.only << 8, np.uint32)
-        symbols, bits.at = walk(np.frombuffer(bits.raw, np.uint8), bits.at, total, green)
-        return symbols.astype(np.uint32) << np.uint32(8) | np.uint32(rest)
+        return walk(bits, total, width, green, far).astype(np.uint32) << np.uint32(8) | np.uint32(rest)
     out: list[int] = []
     cache = [0] * (1 << cache_bits)
     cached = 0
@@ -232,12 +278,7 @@ def pixels_of(bits: Bits, width: int, height: int, main: bool) -> np.ndarray:
             out.append(a << 24 | r << 16 | s << 8 | b)
         elif s < 280:
             length = amount(s - 256, bits)
-            away = amount(far.read(bits), bits)
-            if away > 120:
-                away -= 120
-            else:
-                x, y = NEAR[away - 1]
-                away = max(1, x + y * width)
+            away = distance(amount(far.read(bits), bits), width)
             if away > len(out) or len(out) + length > total:
                 raise ValueError("a back-reference leaves the image")
             for _ in range(length):
@@ -311,6 +352,29 @@ def predict_all(flat: list[int], modes, tile: int, width: int, height: int, forw
     return out
 
 
+def summed(flat: np.ndarray, mode: int, width: int, height: int, forward: bool) -> np.ndarray:
+    """predict_all() for mode 1 (left) or 2 (above) all over an image, by differences or running sums."""
+    out = flat.astype("<u4").view(np.uint8).reshape(height, width, 4)
+    if forward:
+        own = out.copy()
+        if mode == 1:
+            out[:, 1:] -= own[:, :-1]
+            out[1:, 0] -= own[:-1, 0]
+        else:
+            out[1:] -= own[:-1]
+            out[0, 1:] -= own[0, :-1]
+        out[:1, :1, 3] -= np.uint8(255)
+    else:
+        out[:1, :1, 3] += np.uint8(255)
+        if mode == 1:
+            out[:, 0] = out[:, 0].cumsum(axis=0, dtype=np.uint8)
+            out = out.cumsum(axis=1, dtype=np.uint8)
+        else:
+            out[0] = out[0].cumsum(axis=0, dtype=np.uint8)
+            out = out.cumsum(axis=0, dtype=np.uint8)
+    return np.ascontiguousarray(out).reshape(-1).view("<u4").astype(np.uint32)
+
+
 def crossed(flat: np.ndarray, elements: np.ndarray, tile: int, width: int, height: int, forward: bool) -> np.ndarray:
     y, x = np.divmod(np.arange(width * height), width)
     e = elements[(y >> tile) * halved(width, tile) + (x >> tile)]
@@ -368,7 +432,11 @@ def decode(raw: bytes) -> np.ndarray:
         if kind == GREEN:
             flat = greened(flat, 1)
         elif kind == PREDICTOR:
-            flat = np.array(predict_all(flat.tolist(), data >> 8 & 15, tile, across, height, False), np.uint32)
+            modes = data >> 8 & 15
+            if QUICK and modes[0] in (1, 2) and (modes == modes[0]).all():
+                flat = summed(flat, int(modes[0]), across, height, False)
+            else:
+                flat = np.array(predict_all(flat.tolist(), modes, tile, across, height, False), np.uint32)
         elif kind == CROSS:
             flat = crossed(flat, data, tile, across, height, False)
         else:
@@ -506,6 +574,133 @@ def joined(bits: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.unpackbits(raw, axis=1, bitorder="little")[np.arange(8 * room) < ends[:, None].astype(np.int64)]
 
 
+#: Shortest copy that encode_grey() makes, longest that the format allows, and the greatest distance value whose extra bits fit a field.
+SHORTEST, LONGEST_COPY, FARTHEST = 16, 4096, 1 << 17
+
+
+def repeats(data: bytes, lines: bool) -> list[tuple[int, int, int]]:
+    """(place, length, distance) of runs of a byte and, with lines, of lines that came before; ascending, apart."""
+    values = np.frombuffer(data, np.uint8)
+    edge = np.flatnonzero(np.diff(values)) + 1
+    starts, ends = np.concatenate([[0], edge]), np.append(edge, len(values))
+    long = ends - starts > SHORTEST
+    found = [(a + 1, b - a - 1, 1) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+    if lines:
+        seen: dict[bytes, int] = {}
+        at = 0
+        for line in data.split(b"\n"):
+            if len(line) >= SHORTEST:
+                if (before := seen.get(line)) is not None and at - before + 120 <= FARTHEST:
+                    found.append((at, len(line), at - before))
+                seen[line] = at
+            at += len(line) + 1
+        found.sort()
+    out, until = [], 0
+    for a, n, away in found:
+        if a >= until:
+            until = a + n
+            out += [(x, min(LONGEST_COPY, until - x), away) for x in range(a, until, LONGEST_COPY)]
+    return out
+
+
+def put_grey(out: Out, green: np.ndarray, width: int, copies: list[tuple[int, int, int]], rest: tuple[int, int, int]) -> None:
+    """An entropy-coded image in which only green varies, with the copies given; rest: its red, blue and alpha."""
+    out.put(0, 1)
+    out.put(0, 1)
+    near = {max(1, x + y * width): k + 1 for k, (x, y) in reversed(list(enumerate(NEAR))) if x + y * width > 0}
+    literal = np.ones(len(green), bool)
+    coded = []
+    for a, n, away in copies:
+        literal[a : a + n] = False
+        coded.append((prefix_of(n), prefix_of(near.get(away, away + 120))))
+    counts, distances = np.bincount(green[literal], minlength=280).tolist(), [0] * 40
+    for length, away in coded:
+        counts[256 + length[0]] += 1
+        distances[away[0]] += 1
+    code = put_code(out, counts)
+    for value in rest:
+        single = [0] * 256
+        single[value] = 1
+        put_code(out, single)
+    far = put_code(out, distances)
+    if len(code) == 1:
+        return
+    table = [np.zeros(280, np.uint64), np.zeros(280, np.uint64)]
+    for symbol, (value, n) in code.items():
+        table[0][symbol], table[1][symbol] = value, n
+
+    def literals(a: int, b: int) -> None:
+        for x in range(a, b, 1 << 16):
+            some = green[x : min(b, x + (1 << 16))]
+            out.put_bits(joined(table[0][some], table[1][some]))
+
+    at = 0
+    for (a, n, _), (length, away) in zip(copies, coded, strict=True):
+        if a > at:
+            literals(at, a)
+        out.put(*code[256 + length[0]])
+        out.put(length[1], length[2])
+        out.put(*far[away[0]])
+        out.put(away[1], away[2])
+        at = a + n
+    if at < len(green):
+        literals(at, len(green))
+
+
+def entropy(values: np.ndarray) -> float:
+    """Bits of all values under the best code of their own frequencies."""
+    n = np.bincount(values, minlength=256)
+    n = n[n > 0]
+    return float(-(n * np.log2(n / n.sum())).sum())
+
+
+def encode_grey(grey: np.ndarray) -> bytes:
+    """A lossless WebP file of bytes (height, width) as grey pixels.
+
+    Up to 16 values are indexed by a palette, several to a pixel. Of others the
+    left or upper neighbour is predicted where that takes fewer bits.
+    """
+    height, width = grey.shape
+    if not (0 < width <= MOST and 0 < height <= MOST):
+        raise ValueError(f"sides are 1 to {MOST}")
+    out = Out()
+    for value, n in ((width - 1, 14), (height - 1, 14), (0, 1), (0, 3)):
+        out.put(value, n)
+    values = np.flatnonzero(np.bincount(grey.ravel(), minlength=256))
+    if len(values) <= 16:
+        out.put(1 | PALETTE << 1, 3)
+        out.put(len(values) - 1, 8)
+        colours = [ALPHA | int(v) * 0x010101 for v in values]
+        put_pixels(out, np.array([subtracted(c, b) for b, c in zip([0, *colours], colours)], np.uint32), len(colours), False)  # noqa: B905
+        fold = packing(len(values))
+        own = halved(width, fold)
+        index = np.pad(np.searchsorted(values, grey), ((0, 0), (0, (own << fold) - width))).reshape(height, own, 1 << fold)
+        green = (index << np.arange(1 << fold) * (8 >> fold)).sum(axis=2).astype(np.uint8)
+        out.put(0, 1)
+        put_grey(out, green.ravel(), own, repeats(green.tobytes(), False), (0, 0, 255))
+    else:
+        left, above = grey.copy(), grey.copy()
+        left[:, 1:] -= grey[:, :-1]
+        left[1:, 0] -= grey[:-1, 0]
+        above[1:] -= grey[:-1]
+        above[0, 1:] -= grey[0, :-1]
+        cost = [entropy(x.ravel()) for x in (grey, left, above)]
+        mode = int(np.argmin(cost))
+        green = (grey, left, above)[mode]
+        if mode:
+            tile = 9  # the largest tiles: the mode is the same everywhere
+            out.put(1 | PREDICTOR << 1, 3)
+            out.put(tile - 2, 3)
+            put_pixels(out, np.full(halved(width, tile) * halved(height, tile), ALPHA | mode << 8, np.uint32), halved(width, tile), False)
+        out.put(1 | GREEN << 1, 3)
+        out.put(0, 1)
+        data = np.ascontiguousarray(green).tobytes()
+        put_grey(out, np.frombuffer(data, np.uint8), width, repeats(data, not mode), (0, 0, 0 if mode else 255))
+    data = b"\x2f" + out.done()
+    data += b"\0" * (len(data) & 1)
+    return b"RIFF" + struct.pack("<I", 12 + len(data)) + b"WEBPVP8L" + struct.pack("<I", len(data)) + data
+
+
 def put_pixels(out: Out, flat: np.ndarray, width: int, main: bool, cache_bits: int = 0, copies: bool = False) -> None:
     """An entropy-coded image under one group of prefix codes."""
     out.put(int(cache_bits > 0), 1)

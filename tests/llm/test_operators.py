@@ -611,6 +611,24 @@ def test_windows_cover_every_word():
 # 8
 
 
+def files(media_bytes):
+    while media_bytes:
+        n = 8 + int.from_bytes(media_bytes[4:8], "little")
+        yield media_bytes[:n]
+        media_bytes = media_bytes[n:]
+
+
+def naive(raw):
+    """A stored file's bytes by the plain decoder, pixel by pixel."""
+    from quintet.llm import webp
+
+    webp.QUICK = False
+    try:
+        return (webp.decode(raw) >> np.uint32(8)).astype(np.uint8).tobytes()
+    finally:
+        webp.QUICK = True
+
+
 def test_media(docs, odd, none):
     got = {r["doc_id"]: r for r in media.read(media.store(docs)).collect()}
     stored = {r["doc_id"]: r for r in media.store(docs).collect()}
@@ -620,6 +638,13 @@ def test_media(docs, odd, none):
         r = got[i]
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
         assert (r["media_bytes"], r["media_sha256"]) == (len(stored[i]["media"]), hashlib.sha256(stored[i]["media"]).hexdigest())
+        share = [n / len(payload) for n in Counter(payload).values()]
+        bits = 0 - sum(p * math.log2(p) for p in share)
+        size, mean, distinct, entropy = r["feature"].split(";")
+        assert (size, distinct) == (f"192x{len(payload) // 192}", f"distinct={len(share)}")
+        assert float(mean.removeprefix("mean=")) == pytest.approx(sum(payload) / len(payload), abs=1e-4)
+        assert float(entropy.removeprefix("entropy=")) == pytest.approx(bits, abs=1e-4)
+        assert b"".join(naive(x) for x in files(stored[i]["media"])) == payload
     assert got[100]["media_sha256"] == got[101]["media_sha256"] and got[100]["feature"] == got[101]["feature"]
     assert media.read(media.store(odd)).count() == 6 and media.read(media.store(none)).count() == 0
     long = bytes(np.random.default_rng(0).integers(0, 256, 192 * 16384 + 192 * 5, dtype=np.uint8))

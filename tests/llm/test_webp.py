@@ -24,6 +24,54 @@ def test_round_trip(shape, colours):
         assert (webp.decode(webp.encode(pixels, **how)) == pixels).all(), how
 
 
+def greys():
+    r = np.random.default_rng(6)
+    line = bytes(r.integers(32, 120, 90, dtype=np.uint8)) + b"\n"
+    text = b"".join(line if i % 3 else bytes(r.integers(97, 123, int(r.integers(1, 200)), dtype=np.uint8)) + b"\n" for i in range(120))
+    yield np.frombuffer(text + b" " * (-len(text) % 192), np.uint8).reshape(-1, 192)  # lines that come again
+    yield np.full((5, 192), 32, np.uint8)
+    yield np.zeros((1, 1), np.uint8)
+    yield np.frombuffer((b"0101 " * 400)[: 192 * 10], np.uint8).reshape(10, 192)  # few values
+    yield (np.arange(192 * 30) // 7 % 256).astype(np.uint8).reshape(30, 192)  # ramps: the left neighbour
+    yield np.tile(r.integers(0, 256, 192, dtype=np.uint8), (40, 1))  # equal rows: the upper one
+    yield r.integers(0, 256, (300, 192), dtype=np.uint8)
+    yield np.frombuffer(b"a" * 5000 + bytes(r.integers(0, 256, 760, dtype=np.uint8)), np.uint8).reshape(-1, 192)  # a run beyond one copy
+    for n in (1, 2, 3, 4, 5, 16, 17):
+        yield r.integers(0, n, (9, 13), dtype=np.uint8) * 13
+
+
+def test_grey_images_decode_alike_both_ways(monkeypatch):
+    used = set()
+    for grey in greys():
+        raw = webp.encode_grey(grey)
+        assert raw == webp.encode_grey(grey.copy())
+        want = grey.astype(np.uint32) * np.uint32(0x010101) | np.uint32(webp.ALPHA)
+        assert (webp.decode(raw) == want).all()
+        with monkeypatch.context() as m:
+            m.setattr(webp, "QUICK", False)
+            m.setattr(webp, "walk", None)
+            assert (webp.decode(raw) == want).all()
+        bits = webp.Bits(raw[21:])
+        bits.read(32)
+        used.add((bits.read(2) if bits.read(1) else None, len(webp.repeats(grey.tobytes(), True)) > 0))
+    assert {k for k, _ in used} == {webp.PALETTE, webp.PREDICTOR, webp.GREEN} and (webp.GREEN, True) in used
+    lined = next(greys())
+    assert len(webp.encode_grey(lined)) < 0.6 * len(webp.encode(lined.astype(np.uint32) * np.uint32(0x010101) | np.uint32(webp.ALPHA), green=True))
+
+
+def test_copies_of_the_general_encoder_decode_quickly(monkeypatch):
+    """Streams of encode(copies=True) in which only green varies take the vectorised way, too."""
+    r = np.random.default_rng(2)
+    for shape in ((1, 40), (30, 31), (200, 192)):
+        pixels = np.uint32(webp.ALPHA) | r.integers(0, 3, shape).astype(np.uint32) << np.uint32(8)
+        for how in ({"copies": True}, {"copies": True, "predictor": 1}, {"copies": True, "predictor": 2}, {"predictor": 1}, {"predictor": 2}):
+            raw = webp.encode(pixels, **how)
+            quick = webp.decode(raw)
+            with monkeypatch.context() as m:
+                m.setattr(webp, "QUICK", False)
+                assert (webp.decode(raw) == pixels).all() and (quick == pixels).all()
+
+
 def test_known_file():
     raw = base64.b64decode("UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA==")
     assert webp.decode(raw).shape == (1, 1)
