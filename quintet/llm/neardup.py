@@ -15,7 +15,7 @@ that share `least` values must meet in those. Values of passages that many
 documents share are the frequent ones and so are not looked up.
 
 A group of classes under one value never becomes all its pairs. First
-each member is compared with two hubs of its group that lie in other
+each member is compared with three hubs of its group that lie in other
 components, verified links merge components, and values within a single
 component are skipped from then on, which resolves groups of near copies in a
 number of pairs linear in their size. Members of different components that
@@ -150,19 +150,24 @@ def verified(pairs: DataFrame, facts: DataFrame, least: int, percent: int) -> Da
     return dealt.mapInArrow(compare, "a long, b long, linked boolean")
 
 
+#: Keys before its own that a row of prefixes() tells, so that most pairs meet once.
+BEFORE = 16
+
+
 def prefixes(members: DataFrame) -> DataFrame:
-    """(cid, label, total, key, left) of the rarest keys of members (cid, label, need, total, key), among keys that several labels share.
+    """(cid, label, total, size, key, left, before) of the rarest keys of members (cid, label, need, total, key), among keys that several labels share.
 
-    need: how many keys a link has to share. Fewer shared ones than that, and there is no link.
+    need: how many keys a link has to share. Fewer shared ones (size) than that, and there is no link.
     left: how many shared keys there are from this one on, in an order that is the same for all.
+    before: the last keys in front of this one.
     """
     keys = members.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("key", "n")
     ranked = members.join(keys, "key").groupBy("cid", "label", "need", "total").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("ks"))
-    return (
-        ranked.filter(F.size("ks") >= F.col("need"))
-        .select("cid", "label", "total", F.size("ks").alias("size"), F.posexplode(F.slice("ks", F.lit(1), F.size("ks") - F.col("need") + 1)).alias("at", "k"))
-        .select("cid", "label", "total", "k.key", (F.col("size") - F.col("at")).alias("left"))
+    some = ranked.filter(F.size("ks") >= F.col("need")).select(
+        "cid", "label", "total", F.size("ks").alias("size"), F.expr("transform(slice(ks, 1, greatest(size(ks) - need + 1, 0)), x -> x.key)").alias("ks")
     )
+    before = F.expr(f"slice(ks, greatest(at - {BEFORE - 1}, 1), least(at, {BEFORE}))")
+    return some.select("*", F.posexplode("ks").alias("at", "key")).select("cid", "label", "total", "size", "key", (F.col("size") - F.col("at")).alias("left"), before.alias("before"))
 
 
 def by_shingle(facts: DataFrame, wanted: DataFrame, percent: int) -> DataFrame:
@@ -205,11 +210,16 @@ def merged(labels: DataFrame | None, links: DataFrame, keep: common.Scratch) ->
 
 
 def stars(rare: DataFrame) -> DataFrame:
-    """Each member with two hubs of its group: those of least and greatest label, where the label differs."""
+    """Each member with hubs of its group where the label differs: those of least and greatest label, and the centre.
+
+    The centre is the member that shares most of its keys: what copies were made
+    from shares all, and links even with those that link with few other copies.
+    """
     one = F.struct("label", "cid")
-    hubs = rare.groupBy("key").agg(F.min(one).alias("lo"), F.max(one).alias("hi")).filter("lo.label != hi.label")
-    both = rare.join(hubs, "key")
-    return both.select("cid", "label", F.explode(F.array("lo", "hi")).alias("hub")).filter("hub.label != label").select(
+    centre = F.max_by(one, F.struct(F.col("size") / F.col("total"), F.col("cid")))
+    hubs = rare.groupBy("key").agg(F.min(one).alias("lo"), F.max(one).alias("hi"), centre.alias("centre")).filter("lo.label != hi.label")
+    both = rare.select("key", "cid", "label").join(hubs, "key")
+    return both.select("cid", "label", F.explode(F.array("lo", "hi", "centre")).alias("hub")).filter("hub.label != label").select(
         F.least("cid", "hub.cid").alias("a"), F.greatest("cid", "hub.cid").alias("b")
     ).distinct()
 
@@ -219,11 +229,12 @@ def crossings(rare: DataFrame, percent: int) -> DataFrame:
 
     The first key that a link's sets have in common has all others behind it on
     both sides; a key with fewer left than the link needs isn't that, or there is
-    no link.
+    no link. A pair that has a key in common among those told before isn't at its first.
     """
-    other = rare.select("key", F.col("cid").alias("other"), F.col("label").alias("its"), F.col("total").alias("its_total"), F.col("left").alias("its_left"))
+    rare = rare.select("cid", "label", "total", "key", "left", "before")
+    other = rare.select("key", F.col("cid").alias("other"), F.col("label").alias("its"), F.col("total").alias("its_total"), F.col("left").alias("its_left"), F.col("before").alias("its_before"))
     enough = (100 + percent) * F.least("left", "its_left") >= percent * (F.col("total") + F.col("its_total"))
-    return rare.join(other, "key").filter((F.col("label") < F.col("its")) & enough).select(
+    return rare.join(other, (rare["key"] == other["key"]) & (F.col("label") < F.col("its")) & enough & ~F.arrays_overlap("before", "its_before")).select(
         F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b")
     ).distinct()
 
