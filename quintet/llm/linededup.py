@@ -14,7 +14,8 @@ than its own hashes. Texts move once, by document id.
 
 Defined results: a null or empty text is one empty line; rows that share a
 document id count as one document; a null id counts as one document, smaller
-than all others; extra columns are kept.
+than all others; extra columns are kept, save those named like a result, which
+the result replaces.
 """
 
 from __future__ import annotations

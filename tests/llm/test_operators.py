@@ -352,6 +352,34 @@ def test_near_duplicates_family(spark):
         assert rows_of(got, "doc_id", "n_shingles", "component_id", "kept") == want
 
 
+def test_near_duplicates_large_family(spark):
+    """2,000 near copies of one text, many just below the threshold, against brute force."""
+    r = np.random.default_rng(12)
+    base = [f"w{i}" for i in range(70)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 2000):
+        words = list(base)
+        for at in r.choice(70, int(r.integers(0, 5)), replace=False):
+            words[at] = f"x{r.integers(0, 3000)}"
+        rows.append((i, " ".join(words)))
+    sets = [frozenset(shingle_set(t)) for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def root(i):
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if (a := root(i)) != (b := root(j)) and 175 * len(sets[i] & sets[j]) >= 75 * (len(sets[i]) + len(sets[j])):
+                parent[max(a, b)] = min(a, b)
+    want = {i: root(i) for i in range(len(rows))}
+    assert 20 < len(set(want.values())) < 1990
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
+
+
 def test_near_duplicates_odd(spark, odd, none):
     rows = [tuple(r) for r in odd.select("doc_id", "text").collect()]
     got = rows_of(neardup.near_duplicates(odd), "doc_id", "n_shingles", "component_id", "kept")
