@@ -1,4 +1,12 @@
-"""From raw documents to token-ID shards: five stages, each over all that the one before kept."""
+"""From raw documents to token-ID shards: five stages, each over all that the one before kept.
+
+Defined results: null and empty texts are clean, copies of nothing, of size 0
+and end as a document of the end id alone; a null source is a source; a null id
+sorts first; rows that repeat an id are judged each by their own text; further
+columns pass through unchanged, whatever their names, up to the last stage; an
+empty table gives no rows. Each stage's table stays below the shared folder,
+since the next one reads it.
+"""
 
 from __future__ import annotations
 
