@@ -189,6 +189,14 @@ def test_registry(spark):
     assert sorted(tuple(r) for r in registry.resolve(people, asked).select("submission", "repo").collect()) == [("p", "repo1"), ("q", "repo2")]
 
 
+def test_percentile_is_exact(spark):
+    r = np.random.default_rng(1)
+    for values in (r.random(5000), r.integers(0, 5, 3000).astype(float), [7.0], [1.0, 2.0], np.arange(101.0), np.exp(r.normal(0, 3, 40_000))):
+        frame = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "ms double")
+        assert evaluate.p99(frame, "ms").first()["p99"] == pytest.approx(np.percentile(values, 99), rel=1e-12)
+    assert evaluate.p99(spark.createDataFrame([], "ms double"), "ms").first()["p99"] is None
+
+
 def test_load_table(spark):
     stages, start = load.stages_of(spark, "startRate: 1,\n stages: [ { duration: '120s', target: 900 } ]")
     lines = [r["line"] for r in load.table_lines(load.estimated(stages, start), start).orderBy("at").collect()]
