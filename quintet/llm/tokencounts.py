@@ -120,8 +120,11 @@ def allocate(tokens: np.ndarray, sections: np.ndarray, rule: str) -> tuple[np.nd
     return counts, len(crossing)
 
 
-def count(docs: DataFrame, *, tokenizer: str, text_col: str = "text", rule: str = "majority", section_ends=line_ends) -> DataFrame:
-    """docs with n_tokens, n_sections, n_crossing and section_tokens."""
+def count(docs: DataFrame, *, tokenizer: str, text_col: str = "text", rule: str = "majority", section_ends=line_ends, sizes_col: str | None = None) -> DataFrame:
+    """docs with n_tokens, n_sections, n_crossing and section_tokens.
+
+    Sections end where section_ends(text) says, in bytes, or after the sizes in sizes_col.
+    """
     if rule not in RULES:
         raise ValueError(f"rule is one of {RULES}")
     docs = docs.drop(*[f.name for f in RESULT])
@@ -132,10 +135,10 @@ def count(docs: DataFrame, *, tokenizer: str, text_col: str = "text", rule: str
 
         bpe, arrow = load(tokenizer), to_arrow_schema(RESULT)
         for b in common.by_bytes(batches, text_col):
-            rows = []
-            for text in common.utf8(b.column(text_col)):
+            rows, sizes = [], b.column(sizes_col).to_pylist() if sizes_col else None
+            for i, text in enumerate(common.utf8(b.column(text_col))):
                 text = text or b""
-                tokens, sections = bpe.spans(text.decode()) if text else np.zeros(0, np.int64), section_ends(text)
+                tokens, sections = bpe.spans(text.decode()) if text else np.zeros(0, np.int64), np.cumsum(sizes[i]) if sizes else section_ends(text)
                 counts, crossing = allocate(tokens, sections, rule)
                 rows.append((len(tokens), len(sections), crossing, counts))
             more = [pa.array(list(c), f.type) for f, c in zip(arrow, zip(*rows, strict=True), strict=True)]
@@ -144,6 +147,23 @@ def count(docs: DataFrame, *, tokenizer: str, text_col: str = "text", rule: str
     return docs.mapInArrow(attribute, schema)
 
 
+def count_fields(docs: DataFrame, fields: list[str], *, tokenizer: str, rule: str = "majority", between: str = "\n") -> DataFrame:
+    """docs with the counts of count(), whose sections are the fields' texts, joined by `between`, which belongs to the field before.
+
+    A null field is an empty one. A field may hold the separator: boundaries come from the fields' lengths.
+    """
+    joined = docs.withColumn("__text", F.concat_ws(between, *[F.coalesce(F.col(c), F.lit("")) for c in fields]))
+    sizes = F.array(*[F.octet_length(F.coalesce(F.col(c), F.lit(""))) + F.lit(len(between.encode()) if c != fields[-1] else 0) for c in fields])
+    return count(joined.withColumn("__ends", sizes), tokenizer=tokenizer, text_col="__text", rule=rule, sizes_col="__ends").drop("__text", "__ends")
+
+
+def characters(text: str, ends: np.ndarray) -> np.ndarray:
+    """Byte offsets as character offsets; one inside a character is where that character starts."""
+    raw = np.frombuffer(text.encode(), np.uint8)
+    starts = np.append((raw & 0xC0) != 0x80, True)
+    return np.cumsum(starts)[ends] - 1
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every line of `documents`, crossing ones to the line that holds most of their bytes."""
     found = count(common.table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer=vocabulary())

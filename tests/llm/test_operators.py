@@ -817,6 +817,32 @@ def test_token_counts(docs, odd, none, rule):
 # all
 
 
+def test_token_counts_of_fields(spark):
+    rows = [(1, "A title", "Body text, with a\nbreak.", None), (2, None, None, None), (3, "é" * 40, "", "x  "), (4, "\n\n", "  \n", "tail")]
+    frame = spark.createDataFrame(rows, "doc_id long, title string, body string, n_tokens string")
+    bpe = tokencounts.load(tokencounts.vocabulary())
+    for rule in tokencounts.RULES:
+        for r in tokencounts.count_fields(frame, ["title", "body", "n_tokens"], tokenizer=tokencounts.vocabulary(), rule=rule).collect():
+            parts = [x or "" for x in rows[r["doc_id"] - 1][1:]]
+            text = "\n".join(parts)
+            owner = [k for k, p in enumerate(parts) for _ in range(len(p.encode()) + (k < 2))]
+            counts, crossing, at = [0.0] * 3, 0, 0
+            for token in bpe.encode.encode_ordinary(text):
+                n = int(bpe.lengths[token])
+                of = Counter(owner[at : at + n])
+                crossing += len(of) > 1
+                if rule == "split":
+                    for k, v in of.items():
+                        counts[k] += v / n
+                else:
+                    counts[owner[at] if rule == "start" else min(of, key=lambda k: (-of[k], k))] += 1
+                at += n
+            assert (r["n_sections"], r["n_crossing"]) == (3, crossing) and list(r["section_tokens"]) == pytest.approx(counts)
+    text = "aé漢\U0001f600b"
+    ends = bpe.spans(text)
+    assert tokencounts.characters(text, ends).tolist() == [len(text.encode()[:e].decode("utf-8", "ignore")) for e in ends]
+
+
 def test_slices_lose_nothing(docs):
     batch = docs.select("doc_id", "text").toArrow().to_batches()
     for most in (1, 100, 1 << 30):
