@@ -67,6 +67,11 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.folder, self.n = spark, fresh_dir(spark, "tables"), 0
         self.paths: list[tuple[DataFrame, str]] = []
+        self.tasks: int | None = None
+
+    def bounded(self, rows: int, each: int) -> None:
+        """From now on tables follow so many rows: a task and file for `each` of them, and two a core at least."""
+        self.tasks = max(2 * self.spark.sparkContext.defaultParallelism, 1 + rows // each)
 
     def __call__(self, df: DataFrame) -> DataFrame:
         conf, path = self.spark.conf, f"{self.folder}/{self.n}"
@@ -74,7 +79,7 @@ class Scratch:
         before = conf.get(CLEAN, None)
         conf.set(CLEAN, "true")
         try:
-            df.write.parquet(path)
+            (df if self.tasks is None else df.coalesce(self.tasks)).write.parquet(path)
         finally:
             conf.unset(CLEAN) if before is None else conf.set(CLEAN, before)
         found = self.spark.read.schema(df.schema).parquet(path)

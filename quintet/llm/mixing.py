@@ -178,6 +178,7 @@ def mix(
     rows = keep(sized(docs, id_col, text_col, source_col))
     cells = keep(rows.groupBy("source", "size").agg(F.count("*").alias("n")))
     goal = keep(targets(cells.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), weights, most, keep))
+    keep.bounded(cells.count(), 100_000)  # sources and their sizes
     some = cells.filter("size > 0")
     lam = duals(some, goal.filter("source_size > 0"), base=base, most=most, keep=keep)
     tilted = some.join(lam.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")

@@ -257,6 +257,7 @@ def near_duplicates(
     posts = classes.select("cid", F.posexplode("sig")).select("cid", F.xxhash64("pos", "col").alias("key"))
     keys = posts.groupBy("key").count().filter("count > 1").select("key")
     shared = keep(posts.join(keys, "key").groupBy("cid").agg(F.collect_list("key").alias("ks")).filter(F.size("ks") >= least))
+    keep.bounded(shared.count(), 5000)  # all that follows is about these classes
     wanted = classes.join(shared.select("cid"), "cid", "left_semi").select(F.col("rep").alias("id"), "cid", "sig")
     texts, sent = within(docs.select(id_col, text_col), id_col, wanted.select("id"))
     facts = keep(full_sets(texts, wanted.select("id", "cid"), id_col, text_col, width).dropDuplicates(["cid"]).join(wanted.select("cid", "sig"), "cid"))
@@ -292,6 +293,7 @@ def near_duplicates(
         named = named.join(labels.toDF("cid", "component"), "cid", "left").select("cid", "rep", F.coalesce("component", "cid").alias("component"))
         least_id = named.groupBy("component").agg(F.min("rep").alias("component_id"))
         named = named.join(least_id, "component").select("cid", "component_id")
+    keep.tasks = None
     named = keep(named)
     keep.close(rows, named)
     found = rows.select("id", "t", "n", "cid").join(named, "cid", "left")
