@@ -154,7 +154,8 @@ class Index:
         bounded = self.small and (not len(own) or float(np.abs(q[own]).max()) < 1e100)
         for a, b in zip(starts, np.append(starts[1:], len(own)), strict=True):
             rows = own[order[a:b]]
-            place[rows], d2[rows] = self.tile(q[rows], None if q_ids is None else q_ids[rows], k, bounded)
+            with np.errstate(over="ignore"):  # an infinite distance is none
+                place[rows], d2[rows] = self.tile(q[rows], None if q_ids is None else q_ids[rows], k, bounded)
         return place, d2
 
     def tile(self, q: np.ndarray, q_ids: np.ndarray | None, k: int, bounded: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -190,8 +191,7 @@ class Index:
             row = some[row]
             value = exact(q, part, row, col)
         else:
-            with np.errstate(over="ignore"):
-                every = distances(q[some], part)
+            every = distances(q[some], part)
             row, col = np.nonzero(every <= edge[:, None])
             value, row = every[row, col], some[row]
         col = col + a
