@@ -83,7 +83,7 @@ def json_number(x) -> Column:
     """Whole numbers without a point, else up to 10 decimals without trailing zeros."""
     x = as_col(x)
     short = F.regexp_replace(F.format_string("%.10f", x), r"\.?0+$", "")
-    return F.when((x == F.floor(x)) & (F.abs(x) < 1e15), F.format_string("%.0f", x)).otherwise(short)
+    return F.when((x == F.floor(x)) & (F.abs(x) < 1e15), x.cast("long").cast("string")).otherwise(short)
 
 
 def json_array(vector) -> Column:
