@@ -147,6 +147,16 @@ def write_whole(folder: str, stem: str, suffix: str, produce) -> tuple[str, int]
     return f"{folder}/{name}", size
 
 
+def trimmed() -> None:
+    """Give freed memory back to the system, so that a worker between tasks holds little."""
+    import ctypes
+
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps it
+        pass
+
+
 def utf8(column) -> list[bytes | None]:
     """A string column of a record batch as bytes, without decoding."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

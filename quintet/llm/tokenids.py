@@ -58,6 +58,8 @@ def write(docs: DataFrame, folder: str, *, tokenizer: str, id_col: str = "doc_id
                     w.add(i, ids + end)
             w.finish()
             made.update(docs=w.docs, ids=w.ids)
+            bpe.forget()
+            common.trimmed()
 
         import itertools
 

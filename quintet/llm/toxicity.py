@@ -51,6 +51,8 @@ INPUT = 2 * EMBED + 3
 GRAMS = (3, 4, 5)
 ROWS, BYTES = 2500, 32 << 20
 THRESHOLD = 0.7
+#: Text that is scored at once; a word's inputs take some hundred times its bytes.
+SLICE = 1 << 20
 RANKS = (1, 3, 5, 7)
 U, F32 = np.uint64, np.float32
 
@@ -408,7 +410,10 @@ def fitted(docs: DataFrame, labels: DataFrame, rows: int = ROWS, most_bytes: int
                     texts.append(text)
                     toxic.append(y)
                     size += len(text)
-        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(train(texts, np.array(toxic, F32)))], pa.binary())})
+        model = pickle.dumps(train(texts, np.array(toxic, F32)))
+        texts.clear()
+        common.trimmed()
+        yield pa.RecordBatch.from_pydict({"model": pa.array([model], pa.binary())})
 
     one = sample(docs, labels, rows).repartition(1).sortWithinPartitions("h", "doc_id")
     found = one.mapInArrow(fit, "model binary").first()  # an empty sample may have no task at all
@@ -423,8 +428,9 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
 
     def rate(batches):
         model = pickle.loads(sent.value)
-        for b in common.by_bytes(batches, text_col, 4 << 20):
+        for b in common.by_bytes(batches, text_col, SLICE):
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score_texts(model, common.utf8(b.column(text_col))), pa.float64())], names=[*b.schema.names, "score"])
+        common.trimmed()
 
     found = docs.mapInArrow(rate, schema)
     return found.withColumn("held_out", held_out(F.col(id_col))).withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))

@@ -72,6 +72,10 @@ class WordBpe:
         self.size = self.library.get_vocab_size()
         self.width, self.kind = (2, "H") if self.size <= 1 << 16 else (4, "I")
         self.most_bytes = most_bytes
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty the store."""
         self.known = Store(self, {})
 
     def pack(self, ids) -> bytes:
