@@ -199,7 +199,7 @@ def event_search(spark, sf_dir):
 @query(EVENT_VOTE_SQL)
 def q11_vectorize_knn_vote(spark, sf_dir):
     q, r = event_search(spark, sf_dir)
-    return knn.vote(q, knn.neighbours(q, r, leave_out_self=True))
+    return knn.voted(q, r, leave_out_self=True)
 
 
 @query(EVENT_VOTE_SQL)

@@ -99,6 +99,29 @@ def test_all_ways_agree_with_ties_and_few_references(spark):
             assert set(votes.values()) == {0.0}
 
 
+def repeated(spark):
+    """(queries, references) of 60 vectors, 7 times each; some are null or not finite."""
+    rng = np.random.default_rng(5)
+    base = np.round(rng.random((60, 14)) * 2) / 2
+    base[:, [9, 10, 11]], base[::2, [5, 6]] = rng.integers(0, 2, (60, 3)), -1
+    base[3, 0], base[4, 1], base[7], base[8] = np.nan, np.inf, -0.0, 0.0
+    rows = [(i, [float(x) for x in base[i % 60]], "fraud" if i % 3 else None if i % 7 == 0 else "legit") for i in range(420)] + [(1000, None, "legit")]
+    references = spark.createDataFrame(rows, "ref_idx long, vector array<double>, label string")
+    return references.select(F.col("ref_idx").alias("q_id"), "vector"), references
+
+
+def test_large_references_are_searched_by_distinct_vectors(spark):
+    queries, references = repeated(spark)
+    search = knn.Search(references, 5, True)
+    assert search.kept.count() <= 61 and search.kept.selectExpr("max(size(own))").first()[0] == 6
+    for self_ in (True, False):
+        want = sorted(map(tuple, knn.broadcast_search(queries, references, 5, self_).collect()), key=str)
+        votes = sorted(map(tuple, knn.vote(queries, knn.broadcast_search(queries, references, 5, self_)).collect()))
+        for sizes in ({"most_bytes": 0, "block_rows": 7}, {"most_bytes": 20_000}):
+            assert sorted(map(tuple, knn.neighbours(queries, references, 5, self_, **sizes).collect()), key=str) == want
+            assert sorted(map(tuple, knn.voted(queries, references, leave_out_self=self_, **sizes).collect())) == votes
+
+
 def test_rounded_query_and_denominator(spark):
     one = spark.createDataFrame([(0, [0.0], "fraud"), (1, [1.0], "fraud")], "ref_idx long, vector array<double>, label string")
     q = spark.createDataFrame([(0, [0.1])], "q_id long, vector array<double>")
