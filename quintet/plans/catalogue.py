@@ -205,7 +205,7 @@ def q11_vectorize_knn_vote(spark, sf_dir):
 @query(EVENT_VOTE_SQL)
 def q21_bucketed_knn(spark, sf_dir):
     q, r = event_search(spark, sf_dir)
-    return knn.vote(q, knn.bucketed(q, r, leave_out_self=True))
+    return knn.voted(q, r, leave_out_self=True, first=knn.BUCKETS)
 
 
 @query(PAIRS_SQL + ", votes AS (" + vote_sql() + """)

@@ -122,6 +122,14 @@ def test_large_references_are_searched_by_distinct_vectors(spark):
             assert sorted(map(tuple, knn.voted(queries, references, leave_out_self=self_, **sizes).collect())) == votes
 
 
+def test_cells_lie_within_buckets(spark):
+    queries, references = repeated(spark)
+    want = sorted(map(tuple, knn.vote(queries, knn.broadcast_search(queries, references, 5, True)).collect()))
+    assert sorted(map(tuple, knn.voted(queries, references, leave_out_self=True, most_bytes=0, block_rows=7, first=knn.BUCKETS).collect())) == want
+    search = knn.Search(references, 5, True, 0, 7, knn.BUCKETS)
+    assert search.placed.groupBy("cell").agg(F.countDistinct(knn.bucket(F.col("vector"))).alias("n")).filter("n > 1").isEmpty()
+
+
 def test_rounded_query_and_denominator(spark):
     one = spark.createDataFrame([(0, [0.0], "fraud"), (1, [1.0], "fraud")], "ref_idx long, vector array<double>, label string")
     q = spark.createDataFrame([(0, [0.1])], "q_id long, vector array<double>")
