@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quintet.schema import DIMS, TEST_DATA, TRANSACTION, Scale, one_line
+from quintet.schema import DIMS, TEST_DATA, TRANSACTION, Scale, one_line, struct
+from quintet.sources import elements
 
 
 def whole(spark: SparkSession, path: str) -> DataFrame:
@@ -19,6 +20,9 @@ def parsed(text: Column, schema: str) -> Column:
 
 def transactions(spark: SparkSession, path: str) -> DataFrame:
     """Transactions of a JSON array, or of files of one a line, by the fixed schema."""
+    found = elements.of_array(spark, path)
+    if found is not None:
+        return found.select(parsed(F.col("value"), struct(TRANSACTION)).alias("r")).select("r.*")
     return spark.read.schema(one_line(TRANSACTION)).option("mode", "FAILFAST").option("multiLine", True).json(path)
 
 
@@ -41,8 +45,10 @@ def references(spark: SparkSession, path: str, dims: int = DIMS) -> DataFrame:
     sinks.references_parquet and read that from then on. Labels are cut to the
     7 characters that are compared.
     """
-    lists = whole(spark, path).select(parsed(F.col("value"), "array<struct<vector:array<double>,label:string>>").alias("all"))
-    rows = lists.select(F.posexplode("all").alias("at", "r")).select(F.col("at").cast("bigint").alias("ref_idx"), "r.vector", F.substring("r.label", 1, 7).alias("label"))
+    found = elements.of_array(spark, path)
+    if found is None:
+        raise ValueError(f"{path} is no JSON array")
+    rows = found.select("at", parsed(F.col("value"), "struct<vector:array<double>,label:string>").alias("r")).select(F.col("at").alias("ref_idx"), "r.vector", F.substring("r.label", 1, 7).alias("label"))
     return checked(rows, dims)
 
 

@@ -61,9 +61,42 @@ def write_lines(rows: DataFrame, json: Column, path: str) -> None:
 
 
 def write_array(rows: DataFrame, json: Column, order: str, path: str) -> None:
-    """One JSON array in one file, in order. It is one value, so one task gathers it; lines scale."""
-    one = rows.select(F.col(order).alias("at"), json.alias("v")).agg(F.sort_array(F.collect_list(F.struct("at", "v"))).alias("all"))
-    one.select(F.concat(F.lit("["), F.array_join("all.v", ","), F.lit("]")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    """One JSON array in one file, in order, an element a line."""
+    write_whole(rows, json, order, "[", "]", path)
+
+
+def write_whole(rows: DataFrame, json: Column, order: str, head: str, tail: str, path: str) -> None:
+    """One file below path: rows' texts in order, joined by commas, between head and tail.
+
+    Parts are sorted and written by all tasks, and then copied one after another,
+    each going once it is copied; no text is in memory as a whole.
+    """
+    spark = rows.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    to = jvm.org.apache.hadoop.fs.Path(path)
+    fs = to.getFileSystem(conf)
+    fs.delete(to, True)
+    dealt = rows.repartitionByRange(max(1, int(spark.conf.get("spark.sql.shuffle.partitions"))), order).sortWithinPartitions(order)
+    dealt.select(F.concat(F.lit(","), json)).write.text(f"{path}/_parts")
+    parts = sorted((s for s in fs.listStatus(jvm.org.apache.hadoop.fs.Path(to, "_parts")) if s.getPath().getName().startswith("part-") and s.getLen()), key=lambda s: s.getPath().getName())
+    made = jvm.org.apache.hadoop.fs.Path(to, "_made")
+    out = fs.create(made, True)
+    try:
+        out.write(bytearray(head.encode()))
+        for i, s in enumerate(parts):
+            part = fs.open(s.getPath())
+            try:
+                if not i:
+                    part.read()  # the first comma
+                jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, out, 1 << 20, False)
+            finally:
+                part.close()
+            fs.delete(s.getPath(), False)
+        out.write(bytearray(tail.encode()))
+    finally:
+        out.close()
+    fs.delete(jvm.org.apache.hadoop.fs.Path(to, "_parts"), True)
+    fs.rename(made, jvm.org.apache.hadoop.fs.Path(to, "part-00000.json"))
 
 
 def write_test_data(entries: DataFrame, stats: DataFrame, checksum: str, path: str) -> None:

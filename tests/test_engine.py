@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quintet.operators import evaluate, generate, knn, load, registry, vectorize
 from quintet.schema import MCC_RISK, TRANSACTION, one_line
-from quintet.sources import readers, sinks
+from quintet.sources import elements, readers, sinks
 
 RATIO = 0.35
 
@@ -316,6 +316,47 @@ def test_files_round_trip(spark, tmp_path, payloads, references):
     assert readers.checksum(spark, str(tmp_path / "risk.json")).first()["sha256"] == hashlib.sha256((tmp_path / "risk.json").read_bytes()).hexdigest()
 
 
+@pytest.fixture
+def small_splits(spark):
+    settings = {"spark.sql.files.maxPartitionBytes": "2000", "spark.sql.files.openCostInBytes": "1"}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    yield
+    for k in settings:
+        spark.conf.unset(k)
+
+
+def test_an_array_is_written_and_read_by_several_tasks(spark, tmp_path, payloads, references, small_splits):
+    sinks.write_array(payloads, sinks.request_json(), "idx", str(tmp_path / "a"))
+    (name,) = [p for p in os.listdir(tmp_path / "a") if not p.startswith((".", "_"))]
+    parsed = json.loads((tmp_path / "a" / name).read_text())
+    assert [x["id"] for x in parsed] == [r["id"] for r in payloads.orderBy("idx").collect()]
+    (tmp_path / "one_line.json").write_text(json.dumps(parsed))
+    (tmp_path / "indented.json").write_text(json.dumps(parsed, indent=4) + "\n")
+    want = sorted(map(str, spark.read.schema(one_line(TRANSACTION)).option("multiLine", True).json(str(tmp_path / "one_line.json")).collect()))
+    for path in ("a", "one_line.json", "indented.json"):
+        back = readers.transactions(spark, str(tmp_path / path))
+        assert sum(n > 0 for n in back.rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()) > 5
+        assert sorted(map(str, back.collect())) == want
+    sinks.write_array(payloads.limit(0), sinks.request_json(), "idx", str(tmp_path / "none"))
+    assert readers.transactions(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_elements_of_any_json(spark, tmp_path, small_splits):
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20")
+    values = [1, None, "a}],[{\\\"\\\\", {"k}": [{"x": '"'}, [], {}]}, [], [[1, 2], [3]], "\u65e5" * 30, {"": {"": "{" * 50}}] * 3
+    for name, some in (("many", values), ("one", values[2:3]), ("none", [])):
+        for indent in (None, 2):
+            (tmp_path / f"{name}.json").write_text(json.dumps(some, indent=indent, ensure_ascii=False))
+            got = sorted((r["at"], json.dumps(json.loads(r["value"]))) for r in elements.of_array(spark, str(tmp_path / f"{name}.json")).collect())
+            assert got == [(i, json.dumps(x)) for i, x in enumerate(some)]
+    (tmp_path / "object.json").write_text('{"a": [1]}')
+    assert elements.of_array(spark, str(tmp_path / "object.json")) is None
+    (tmp_path / "open.json").write_text('[{"a": 1}, {"b": ')
+    with pytest.raises(ValueError, match="incomplete"):
+        elements.of_array(spark, str(tmp_path / "open.json"))
+
+
 def test_labelled_file(spark, tmp_path, payloads, references):
     entries = generate.labelled(payloads, references)
     rows = [{"request": json.loads(r["j"]), "expected_approved": r["expected_approved"], "expected_fraud_score": r["expected_fraud_score"]} for r in entries.orderBy("idx").select(sinks.request_json().alias("j"), "expected_approved", "expected_fraud_score").collect()]
