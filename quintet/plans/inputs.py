@@ -43,7 +43,7 @@ def q28_requests_array(spark, sf_dir):
 @query(events.FEATURES_SQL + f"SELECT row_number() OVER (ORDER BY event_id) - 1 AS ref_idx, CASE WHEN event_type = 'error' THEN 'fraud' ELSE 'legit' END AS label, {LISTED} FROM vectors")
 def q29_references_round_trip(spark, sf_dir):
     """Labelled vectors written as one JSON array, read back with their place in it, and kept as Parquet by bucket."""
-    rows = events.transactions(spark, sf_dir).select("idx", vectorize.vector(events.SCALE, events.RISK).alias("vector"), F.when(F.col("event_type") == "error", "fraud").otherwise("legit").alias("label"))
+    rows = cut(events.transactions(spark, sf_dir).select("idx", vectorize.vector(events.SCALE, events.RISK).alias("vector"), F.when(F.col("event_type") == "error", "fraud").otherwise("legit").alias("label")))
     folder = shared_folder(spark, "references")
     sinks.write_array(rows, sinks.reference_json(), "idx", f"{folder}/json")
     sinks.references_parquet(readers.references(spark, f"{folder}/json"), f"{folder}/parquet")
