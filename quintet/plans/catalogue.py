@@ -349,7 +349,10 @@ def q24_streaming_score(spark, sf_dir):
     rows = events.transactions(spark, sf_dir)
     _, references = event_search(spark, sf_dir)
     requests = rows.select(F.to_json(F.struct(*FIELDS)).alias("value"))
-    return through_stream(requests, lambda stream: score.score(score.requests(stream), references, scale=events.SCALE, risk={}))
+    search = knn.Search(references)
+    if search.sent:
+        return through_stream(requests, lambda stream: score.score(score.requests(stream), search, scale=events.SCALE, risk={}))
+    return through_stream(requests, score.requests, files_at_once=64, each=lambda rows: score.scored(rows, search, scale=events.SCALE, risk={}))
 
 
 @query("""

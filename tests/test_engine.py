@@ -367,6 +367,19 @@ def test_labelled_file(spark, tmp_path, payloads, references):
     assert sinks.stats_line(told).first()["line"].startswith("Stats: total=50 fraud=20 (40.0%)")
 
 
+def test_references_and_labelled_file_are_read_by_several_tasks(spark, tmp_path, payloads, references, small_splits):
+    tasks = lambda rows: sum(n > 0 for n in rows.rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect())
+    sinks.write_array(references, sinks.reference_json(), "ref_idx", str(tmp_path / "refs"))
+    back = readers.references(spark, str(tmp_path / "refs"))
+    assert tasks(back) > 3 and sorted(map(str, back.collect())) == sorted(map(str, references.collect()))
+    entries = generate.labelled(payloads, references)
+    sinks.write_test_data(entries, generate.stats(entries), "0" * 64, str(tmp_path / "labelled"))
+    back, told = readers.test_data(spark, str(tmp_path / "labelled"))
+    assert tasks(back) > 3 and told.first()["references_checksum_sha256"] == "0" * 64 and told.first()["total"] == 50
+    pick = lambda rows: sorted(map(tuple, rows.select("idx", "id", "expected_approved", "expected_fraud_score").collect()))
+    assert pick(back) == pick(entries)
+
+
 def test_scalable_generator(spark):
     made = generate.scalable_transactions(spark, 4000, RATIO, seed=5).persist()
     assert made.count() == 4000
@@ -393,3 +406,17 @@ def test_streaming_equals_batch(spark, payloads, references, tmp_path):
     running.processAllAvailable()
     running.stop()
     assert sorted(seen) == sorted(map(tuple, batch.collect()))
+
+
+def test_streams_take_references_of_any_size(spark, payloads, references):
+    from quintet.streaming import score
+    from quintet.streaming.files import through_stream
+
+    want = sorted(map(tuple, score.score(payloads, references).collect()))
+    requests = payloads.select(sinks.request_json().alias("value"))
+    many = references.unionByName(references.withColumn("ref_idx", F.col("ref_idx") + 1000))
+    for search in (knn.Search(references, most_bytes=0, block_rows=30), knn.Search(many, k=10, most_bytes=0, block_rows=30)):
+        got = through_stream(requests, score.requests, each=lambda rows, search=search: score.scored(rows, search))
+        assert sorted(map(tuple, got.collect())) == want
+    # 200 references of 100 vectors fit where 200 vectors wouldn't
+    assert sorted(map(tuple, score.score(payloads, many, k=10, most_bytes=20_000).collect())) == want
