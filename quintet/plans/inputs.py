@@ -82,7 +82,7 @@ def q32_labelled_file(spark, sf_dir):
     """Transactions labelled by their neighbours, written as one labelled file with its stats, and read back."""
     rows = events.transactions(spark, sf_dir)
     q, r = event_search(spark, sf_dir)
-    votes = knn.vote(q, knn.neighbours(q, r, leave_out_self=True)).select(F.col("q_id").alias("idx"), F.col("approved").alias("expected_approved"), F.col("fraud_score").alias("expected_fraud_score"))
+    votes = knn.voted(q, r, leave_out_self=True).select(F.col("q_id").alias("idx"), F.col("approved").alias("expected_approved"), F.col("fraud_score").alias("expected_fraud_score"))
     entries = cut(rows.join(votes, "idx"))
     folder = shared_folder(spark, "labelled")
     sinks.write_test_data(entries, generate.stats(entries), "0" * 64, folder)

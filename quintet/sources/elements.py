@@ -134,8 +134,8 @@ def parts(spark: SparkSession, path: str, level: int = 1) -> tuple[DataFrame, di
         ends[file] = depth  # below 0: no "}" was behind the last piece
     sent = spark.sparkContext.broadcast(states)
     kind = "file long, at long, start long, inside boolean, value string"
-    cuts = cut(raw.mapInArrow(cutting(sent, level, True), kind))
-    cuts = cuts.groupBy("file", "at", "inside").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "value"))), lambda x: x["value"]), "").alias("value"))
+    cuts = raw.mapInArrow(cutting(sent, level, True), kind)
+    cuts = cut(cuts.groupBy("file", "at", "inside").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "value"))), lambda x: x["value"]), "").alias("value")))
     outside = defaultdict(list)
     for r in sorted(cuts.filter("not inside").collect(), key=lambda r: r["at"]):
         outside[r["file"]].append((r["at"], r["value"]))

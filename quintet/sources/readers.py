@@ -74,8 +74,12 @@ def risk(spark: SparkSession, path: str) -> dict[str, float]:
 
 def test_data(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(entries with idx, one row of stats) of a labelled test file."""
-    all_of = spark.read.schema(TEST_DATA).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    entries = all_of.select(F.posexplode("entries").alias("idx", "e")).select("idx", "e.request.*", "e.expected_approved", "e.expected_fraud_score")
+    found = elements.of_member(spark, path, "entries")
+    if found is None:
+        raise ValueError(f"{path} is no labelled test file")
+    one = f"struct<request:{struct(TRANSACTION)},expected_approved:boolean,expected_fraud_score:double>"
+    entries = found[0].select(F.col("at").cast("int").alias("idx"), parsed(F.col("value"), one).alias("e")).select("idx", "e.request.*", "e.expected_approved", "e.expected_fraud_score")
+    all_of = spark.createDataFrame([(found[1],)], "value string").select(parsed(F.col("value"), struct(TEST_DATA)).alias("e")).select("e.*")
     return entries, all_of.select("references_checksum_sha256", "stats.*")
 
 

@@ -102,10 +102,8 @@ def write_whole(rows: DataFrame, json: Column, order: str, head: str, tail: str,
 def write_test_data(entries: DataFrame, stats: DataFrame, checksum: str, path: str) -> None:
     """The labelled test file: the references' checksum, the row of stats, and entries (idx, request, expected …) in order, as one value."""
     one = object_of(member("request", request_json()), member("expected_approved", F.col("expected_approved").cast("string")), member("expected_fraud_score", json_number("expected_fraud_score")))
-    listed = entries.select(F.col("idx").alias("at"), one.alias("v")).agg(F.sort_array(F.collect_list(F.struct("at", "v"))).alias("all"))
-    told = stats.select(F.to_json(F.struct(*stats.columns)).alias("stats"))
-    whole = object_of(member("references_checksum_sha256", F.lit(json.dumps(checksum))), member("stats", F.col("stats")), member("entries", F.concat(F.lit("["), F.array_join("all.v", ","), F.lit("]"))))
-    listed.crossJoin(F.broadcast(told)).select(whole.alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    told = stats.select(F.to_json(F.struct(*stats.columns))).first()[0]
+    write_whole(entries, one, "idx", f'{{"references_checksum_sha256":{json.dumps(checksum)},"stats":{told},"entries":[', "]}", path)
 
 
 def references_parquet(references: DataFrame, path: str) -> None:
