@@ -15,7 +15,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quintet.session import cut
@@ -111,6 +111,11 @@ def cutting(states, level: int, edges: bool):
     return run
 
 
+def only(rows: DataFrame, ok: Column) -> DataFrame:
+    """The rows where ok holds; values of others are null, since Spark may parse what a filter is about to drop."""
+    return rows.filter(ok).withColumn("value", F.when(ok, F.col("value")))
+
+
 def parts(spark: SparkSession, path: str, level: int = 1) -> tuple[DataFrame, dict[int, list[tuple[int, str]]]]:
     """What lies between the commas of a level, as (file, at, value), and, by file, what lies outside of it, as [(at, text)].
 
@@ -143,7 +148,7 @@ def parts(spark: SparkSession, path: str, level: int = 1) -> tuple[DataFrame, di
         if ends[file] < 0:
             texts[-1] = (texts[-1][0], texts[-1][1].rstrip()[:-1])
     whole = raw.mapInArrow(cutting(sent, level, False), kind)
-    return whole.select("file", "at", "value").unionByName(cuts.filter("inside").select("file", "at", "value")), dict(outside)
+    return whole.select("file", "at", "value").unionByName(only(cuts, F.col("inside")).select("file", "at", "value")), dict(outside)
 
 
 def of_array(spark: SparkSession, path: str) -> DataFrame | None:
@@ -153,7 +158,7 @@ def of_array(spark: SparkSession, path: str) -> DataFrame | None:
         return None
     empty = [file for file, texts in outside.items() if texts[1][0] == 2]
     if empty:
-        found = found.filter(~(F.col("file").isin(empty) & F.col("value").rlike(r"^\s*$")))
+        found = only(found, ~(F.col("file").isin(empty) & F.col("value").rlike(r"^\s*$")))
     return found.select((F.col("at") - 1).alias("at"), "value")
 
 
@@ -167,9 +172,9 @@ def of_member(spark: SparkSession, path: str, name: str) -> tuple[DataFrame, str
     if len(places) != 1 or not texts[0][1].strip("\ufeff \t\r\n").startswith("{"):
         return None
     a, b = texts[places[0]][0], texts[places[0] + 1][0]
-    mine = found.filter((F.col("at") > a) & (F.col("at") < b))
+    mine = only(found, (F.col("at") > a) & (F.col("at") < b))
     if b == a + 2:
-        mine = mine.filter(~F.col("value").rlike(r"^\s*$"))
+        mine = only(mine, ~F.col("value").rlike(r"^\s*$"))
     others = [(r["at"], r["value"], True) for r in found.filter((F.col("at") < a) | (F.col("at") > b)).collect()]
     text, before = "", False
     for _, value, inside in sorted([*others, *((at, t, False) for at, t in texts)]):

@@ -380,6 +380,18 @@ def test_references_and_labelled_file_are_read_by_several_tasks(spark, tmp_path,
     assert pick(back) == pick(entries)
 
 
+def test_what_is_no_element_is_never_parsed(spark, tmp_path, references, payloads, small_splits):
+    """Spark evaluates an expression that two parts of a filter share before the filter's first part."""
+    sinks.write_array(references, sinks.reference_json(), "ref_idx", str(tmp_path / "refs"))
+    assert readers.references(spark, str(tmp_path / "refs")).filter("label = 'fraud' and vector[0] >= 0").count() == references.filter("label = 'fraud' and vector[0] >= 0").count()
+    sinks.write_array(references.limit(0), sinks.reference_json(), "ref_idx", str(tmp_path / "none"))
+    assert readers.references(spark, str(tmp_path / "none")).count() == 0
+    entries = generate.labelled(payloads, references)
+    sinks.write_test_data(entries, generate.stats(entries), "0" * 64, str(tmp_path / "labelled"))
+    some = "expected_fraud_score > 0.1 and transaction.amount > 0"
+    assert readers.test_data(spark, str(tmp_path / "labelled"))[0].filter(some).count() == entries.filter(some).count() > 0
+
+
 def test_scalable_generator(spark):
     made = generate.scalable_transactions(spark, 4000, RATIO, seed=5).persist()
     assert made.count() == 4000
